@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.piece_codec import digests
 from tessera.llm.token_counts import token_counts
+from tessera.llm.token_output import token_output
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +27,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_token_output": op7_token_output,
         "op8_token_counts": op8_token_counts,
         "op10_piece_codec": op10_piece_codec,
     }
