@@ -11,6 +11,35 @@ from tessera.llm.common import table
 from tessera.llm.piece_codec import digests
 from tessera.llm.token_counts import token_counts
 from tessera.llm.token_output import token_output
+from tessera.llm.url_filters import judged
+
+
+#: The rules of the op1 contract, and one further listed host.
+BLOCK_RULES = ["com/en/", "example.net/de/8", "org/es/"]
+ALLOW_RULES = ["example.com/en/7", "net/de/"]
+LISTED_BLOCK = ["spam-farm.example.org/"]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), BLOCK_RULES, ALLOW_RULES, LISTED_BLOCK)
+
+
+OP1_SQL = """
+WITH split AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+rules(r, h, p, v) AS (VALUES
+  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'allow'),
+  ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+best AS (
+  SELECT page_id, arg_max(r, length(r)) AS rule, arg_max(v, length(r)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT parts.page_id, host, path, rule, coalesce(verdict,
+  CASE WHEN (host = 'spam-farm.example.org' OR ends_with(host, '.spam-farm.example.org')) AND starts_with(path, '/') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (page_id)
+"""
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +56,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": op1_url_filters,
         "op7_token_output": op7_token_output,
         "op8_token_counts": op8_token_counts,
         "op10_piece_codec": op10_piece_codec,
@@ -34,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL}
