@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import license_scan, quality_rules
+from tessera.llm import language_id, license_scan, quality_classifier, quality_rules
 from tessera.llm.common import table
 from tessera.llm.piece_codec import digests
 from tessera.llm.token_counts import token_counts
@@ -43,10 +43,18 @@ FROM parts LEFT JOIN best USING (page_id)
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -66,7 +74,9 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
+        "op2_language_id": op2_language_id,
         "op3_quality_rules": op3_quality_rules,
+        "op4_quality_classifier": op4_quality_classifier,
         "op7_token_output": op7_token_output,
         "op8_token_counts": op8_token_counts,
         "op9_license_scan": op9_license_scan,
