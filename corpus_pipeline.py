@@ -1,16 +1,75 @@
-"""The corpus pipeline: stages of training-data operators, each on all that its predecessor kept."""
+"""The corpus pipeline: stages of training-data operators, each on all that its predecessor kept.
+
+1. language ID: documents without a language, or whose predicted language isn't certain enough, go;
+2. quality classifier: documents that are probably not of the top grade go;
+3. n-gram Jaccard join: of each group of linked documents the one with the smallest key stays;
+4. benchmark decontamination: documents that hold a benchmark item go;
+5. SentencePiece encoding and decoding: every document left with its token ids and digests.
+
+All but the last stage return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, jaccard_join, language_id, piece_codec, quality_classifier
+from tessera.llm.common import staged, table
+
+#: Least calibrated probability of the predicted language.
+SURE = 0.3
+#: Least chance of the top grade.
+GOOD = quality_classifier.SELECT
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a certain language."""
+    found = language_id.predicted(docs, language_id.learn(docs), "doc_id", "text", *[c for c in docs.columns if c != "doc_id"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that are probably of the top grade."""
+    model = quality_classifier.learn(docs, quality_classifier.graded(table(spark, sf_dir, "labels")))
+    return quality_classifier.scored(docs, model, *docs.columns, select=GOOD).where("selected").select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group of linked documents."""
+    grouped = jaccard_join.clustered(docs)
+    gone = grouped.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and digests of what is left."""
+    return piece_codec.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language ID", by_language),
+    ("quality classifier", by_quality),
+    ("n-gram Jaccard join", without_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("SentencePiece encoding and decoding", encoded),
+]
 
-STAGES: list = []
+#: The model stages are no SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` through all stages."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """`documents` through all stages; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = staged(docs, f"stage-{n + 1}")
     return docs

@@ -30,11 +30,12 @@ def gram_buckets(codes: np.ndarray, sizes: tuple[int, ...], bits: int) -> np.nda
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def word_hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word between white space, in order."""
+def word_hashes(codes: np.ndarray, space: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word between white space (or where `space` is set), in order."""
     if not len(codes):
         return np.empty(0, np.uint64)
-    space = (codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D))
+    if space is None:
+        space = (codes == 0x20) | ((codes >= 0x09) & (codes <= 0x0D))
     opens = ~space
     opens[1:] &= space[:-1]
     starts = np.flatnonzero(opens)

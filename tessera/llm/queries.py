@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard_join, language_id, license_scan, quality_classifier, quality_rules
+from tessera.llm import decontamination, jaccard_join, language_id, license_scan, quality_classifier, quality_rules
 from tessera.llm.common import table
 from tessera.llm.piece_codec import digests
 from tessera.llm.token_counts import token_counts
@@ -55,6 +55,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.clustered(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op3_quality_rules": op3_quality_rules,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_decontamination": op5_decontamination,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_token_output": op7_token_output,
         "op8_token_counts": op8_token_counts,
