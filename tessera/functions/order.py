@@ -11,8 +11,8 @@ LARGEST = 9223372036854775807
 
 def double_key(column: Column) -> Column:
     """A long that orders doubles as IEEE totalOrder does: -NaN < -inf < ... < -0 < +0 < ... < inf < NaN."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), column).cast("long")
-    return bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit(LARGEST)))
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(column, F.lit(0.0))).cast("long")
+    return F.when(column.isNotNull(), bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit(LARGEST))))
 
 
 def canonical_order(df: DataFrame) -> list[Column]:
