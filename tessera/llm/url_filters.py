@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
+from tessera.llm.hashing import MIX, mixed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits per key: level 0 (a false positive rate near 1 %) and the others (near one half).
@@ -47,15 +48,17 @@ def path_of(url: Column) -> Column:
 
 @dataclass
 class Level:
-    """One Bloom filter: `size` bits and `hashes` positions per key."""
+    """One Bloom filter: `size` bits and `hashes` positions per key. Levels differ in `salt`, or keys that meet in one
+    level could meet in all."""
 
     size: int
     hashes: int
     bits: np.ndarray = field(repr=False)
+    salt: int = 0
 
     def positions(self, first: np.ndarray, second: np.ndarray, i: int) -> np.ndarray:
-        mixed = first.astype(np.uint64) + np.uint64(i) * (second.astype(np.uint64) | np.uint64(1))
-        return ((mixed >> np.uint64(32)) * np.uint64(self.size)) >> np.uint64(32)
+        own = mixed(first.view(np.uint64) + np.uint64(self.salt) * MIX) + np.uint64(i) * (second.view(np.uint64) | np.uint64(1))
+        return ((own >> np.uint64(32)) * np.uint64(self.size)) >> np.uint64(32)
 
     def has(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         found = np.ones(len(first), bool)
@@ -102,10 +105,10 @@ def build_cascade(universe: DataFrame) -> Cascade | None:
         if bits > MOST_FILTER_BITS:
             return None
         hashes = max(1, round(per_key * math.log(2)))
-        level = Level(bits, hashes, np.zeros(bits // 8, np.uint8))
+        level = Level(bits, hashes, np.zeros(bits // 8, np.uint8), len(levels))
         cascade, parity = Cascade(list(levels)), len(levels) % 2
 
-        def words(batches: Iterator[pa.RecordBatch], cascade: Cascade = cascade, level: Level = Level(bits, hashes, np.zeros(0, np.uint8)), parity: int = parity) -> Iterator[pa.RecordBatch]:
+        def words(batches: Iterator[pa.RecordBatch], cascade: Cascade = cascade, level: Level = Level(bits, hashes, np.zeros(0, np.uint8), len(levels)), parity: int = parity) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h1, h2, listed = (np.asarray(batch.column(i)) for i in range(3))
                 own = listed == (parity == 0)
