@@ -14,7 +14,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.contract import TableContract, assert_exact_schema, empty, evolve, padded
@@ -190,6 +190,41 @@ class Dataset:
         own = versions.change_log(self.history(), limit)
         return own.join(self.notes().select("revision", "run_id", "reason", "at"), "revision").orderBy(F.desc("revision"))
 
+    # Retention
+
+    def pins(self) -> DataFrame:
+        """Live pins (pin_id, revision): pinned and not released since."""
+        try:
+            rows = self.spark.read.schema("pin_id string, revision long, released boolean").option("recursiveFileLookup", "true").parquet(f"{self.path}/pins")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], "pin_id string, revision long, released boolean")
+        return rows.groupBy("pin_id").agg(F.max("revision").alias("revision"), F.bool_or("released").alias("released")).where("NOT released").drop("released")
+
+    def pin(self, revision: int | str, pin_id: str) -> None:
+        """Keep a revision; the same id pins only once, and a released id never again."""
+        number = self.resolve(revision)
+        try:
+            self.spark.createDataFrame([(pin_id, number, False)], "pin_id string, revision long, released boolean").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/pins/id={pin_id}/pin")
+        except AnalysisException as e:
+            if self.pins().where((F.col("pin_id") == pin_id) & (F.col("revision") == number)).isEmpty():
+                raise TesseraError("REQUEST_MISMATCH", f"pin {pin_id} was used for another revision or released") from e
+
+    def unpin(self, pin_id: str) -> None:
+        if self.pins().where(F.col("pin_id") == pin_id).isEmpty():
+            return
+        number = self.pins().where(F.col("pin_id") == pin_id).first()["revision"]
+        self.spark.createDataFrame([(pin_id, number, True)], "pin_id string, revision long, released boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pins/id={pin_id}/release")
+
+    def gc(self, grace_seconds: int = 0, holds: DataFrame | None = None) -> DataFrame:
+        """Every version in the history with its class (Protected or Eligible), by pins, holds (revision) and grace."""
+        newer = F.lead("at").over(Window.orderBy("revision"))
+        revisions = self.notes().select("revision", newer.alias("superseded_at"))
+        none = self.spark.createDataFrame([], "revision long")
+        kept = versions.kept_revisions(revisions, F.current_timestamp(), grace_seconds, self.pins(), holds if holds is not None else none)
+        own = self.history()
+        written = own.select(*versions.PAIR, "version", "path").distinct()
+        return versions.gc_candidates(written, own, kept, self.spark.createDataFrame([], "table string, partition string, version long"))
+
     def verify(self, revision: int | str = "latest") -> DataFrame:
         """State rows whose files no longer have the recorded content."""
         found = None

@@ -107,6 +107,24 @@ def test_build_records_inputs(spark, tmp_path):
         b.build({"x": (a, "t", 1)}, {"n": ("SELECT count(*) AS other FROM input_x", total)})
 
 
+def test_pins_and_gc(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path), "d")
+    for n in (1, 2, 3):
+        d.push({"t": (spark.range(n), PLAIN)})
+    classes = lambda: {r.version: r["class"] for r in d.gc().collect()}
+    assert classes() == {1: "Eligible", 2: "Eligible", 3: "Protected"}
+    d.pin(1, "keep")
+    d.pin(1, "keep")
+    assert classes()[1] == "Protected" and d.gc(3600).where("class = 'Eligible'").count() == 0
+    with pytest.raises(TesseraError):
+        d.pin(2, "keep")
+    d.unpin("keep")
+    d.unpin("keep")
+    assert classes()[1] == "Eligible"
+    with pytest.raises(TesseraError):
+        d.pin(1, "keep")
+
+
 def test_aba(spark):
     history = spark.createDataFrame([("t", "", v, r) for r, v in ((1, 1), (2, 2), (3, 1))] + [("u", "", 5, r) for r in (1, 3)], "table string, partition string, version long, revision long")
     mine = spark.createDataFrame([("t", ""), ("u", "")], "table string, partition string")
