@@ -12,10 +12,13 @@ link when their sets' Jaccard similarity is at least `SIMILARITY`.
    groups with tokens in the prefix, so by the pigeonhole principle some rare token or some combination is shared.
    Small sets, whose overlap may be less than that, index frequent tokens singly, as do sets a little larger, so that
    every possible pair meets in one of both ways.
-3. Entries met by two classes are kept. A class lives on only if its shared entries can make up e (count filter).
-4. A third pass makes the whole sets of what lives on. Each entry's members are verified against its smallest
-   member; what is linked to it needs no comparison with what else is. Pairs of members still in different components
-   are then verified pair by pair. No pair within a component is made twice over, and none is left out.
+3. Entries met by two classes are kept; rare tokens that no other class meets are counted, as they bound every overlap. Of the tokens that two prefixes share, all but one per group of frequent
+   tokens show as a shared entry of their own at least. So a class lives on only if it shares as many entries as e is
+   above its number of groups (count filter).
+4. A third pass makes the whole sets of what lives on. Each entry's members are verified against one of them, in some
+   rounds with other pivots; what is linked to it needs no comparison with what else is. Of the pairs of members still
+   in different components, those that share enough entries (count filter) are then verified one by one. No pair
+   within a component is made, and none is left out.
 
 Defined results: without words or text a set is empty and linked with nothing; with fewer than five words the whole
 sequence is one shingle; rows with a null key keep a null component; rows that share a key count as one document;
@@ -41,9 +44,11 @@ WORDS, PERCENT = 5, 80
 #: A token is frequent if more than this share of a task's classes hold it, and at least so many do.
 FREQUENT_SHARE, FREQUENT_LEAST, MOST_FREQUENT = 0.002, 8, 100_000
 #: Groups of frequent tokens; sets of up to SMALL tokens index frequent tokens singly.
-GROUPS, SMALL = 32, 64
+GROUPS, SMALL = 16, 64
 #: The count filter's part of a set: so many further prefix tokens, in hundredths.
 EXTEND = 10
+#: Rounds of comparing an entry's members with one of them.
+ROUNDS = 2
 
 
 def shingles(text: str) -> np.ndarray:
@@ -74,8 +79,9 @@ def least_overlap(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """Index entries of a set, and how many of them must be met by others for it to have a link at all."""
+def entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Index entries of a set, those of rare tokens first; how many entries it shares with any set that it links
+    with; how many entries are of rare tokens."""
     n = len(tokens)
     at = np.searchsorted(frequent, tokens)
     often = np.zeros(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == tokens
@@ -100,7 +106,7 @@ def entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
             own = common[groups == g]
             i, j = np.triu_indices(len(own), 1)
             found.append(mixed(own[i] * GRAM[0] + mixed(own[j])))
-    return np.concatenate(found), extra - held
+    return np.concatenate(found), extra - (len(np.unique(groups)) if n > SMALL else 0), len(found[0])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -162,32 +168,35 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def index_of(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> DataFrame:
-    """Rows (entry, s1, s2, need): index entries of every class, and one row with `need` for the class itself."""
+    """Rows (entry, s1, s2, rare, need, n_rare): index entries of every class, and one row with `need` and the number
+    of rare entries for the class itself."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
     source = docs.where(F.col(key).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    none = np.iinfo(np.int32).min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            found, need, first, second, sizes = [], [], [], [], []
+            found, rare, needs, sizes, first, second = [], [], [], [], [], []
             for t in batch.column(0):
                 own = shingles(t.as_py())
                 sig = signature(own)
                 if not len(own) or sig in seen:
                     continue
                 seen.add(sig)
-                some, least = entries(own, shared.value)
+                some, least, n_rare = entries(own, shared.value)
                 found += [some, np.array([sig[0] ^ sig[1]], np.int64).view(np.uint64)]
-                need += [np.full(len(some), np.iinfo(np.int32).min, np.int32), np.array([least], np.int32)]
+                rare.append(np.arange(len(some) + 1) < n_rare)
+                needs += [np.full((len(some), 2), none, np.int32), np.array([[least, n_rare]], np.int32)]
                 sizes.append(len(some) + 1)
                 first.append(sig[0])
                 second.append(sig[1])
             if found:
-                repeat = np.array(sizes)
-                needs = np.concatenate(need)
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.repeat(np.array(first, np.int64), repeat)), pa.array(np.repeat(np.array(second, np.int64), repeat)), pa.array(needs, mask=needs == np.iinfo(np.int32).min)], ["entry", "s1", "s2", "need"])
+                repeat, both = np.array(sizes), np.concatenate(needs)
+                own = [_signed(np.concatenate(found)), *(pa.array(np.repeat(np.array(x, np.int64), repeat)) for x in (first, second)), pa.array(np.concatenate(rare))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(both[:, i], mask=both[:, i] == none) for i in (0, 1))], ["entry", "s1", "s2", "rare", "need", "n_rare"])
 
-    return source.mapInArrow(run, "entry long, s1 long, s2 long, need int")
+    return source.mapInArrow(run, "entry long, s1 long, s2 long, rare boolean, need int, n_rare int")
 
 
 def filter_of(keys: DataFrame) -> Level | None:
@@ -247,8 +256,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def sized(a: str, b: str) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def possible(n1: str, unmet1: str, n2: str, unmet2: str) -> Column:
+    """Whether two sets could link: neither shares its unmet rare tokens, and what is left must be enough."""
+    most = F.least(F.col(n1) - F.col(unmet1), F.col(n2) - F.col(unmet2))
+    return (100 + PERCENT) * most >= PERCENT * (F.col(n1) + F.col(n2))
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -261,25 +272,32 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     whole = Window.partitionBy("entry")
     own = F.struct("s1", "s2")
     met = index_of(docs, frequent, key, text).withColumn("least", F.min(own).over(whole)).withColumn("most", F.max(own).over(whole))
-    met = staged(met.where(F.col("need").isNotNull() | (F.col("least") != F.col("most"))).select("entry", "s1", "s2", "need"), "met-entries")
+    met = staged(met.where(F.col("need").isNotNull() | (F.col("least") != F.col("most"))).drop("least", "most"), "met-entries")
 
-    by_class = met.groupBy("s1", "s2").agg(F.count_distinct(F.when(F.col("need").isNull(), F.col("entry"))).alias("shared"), F.max("need").alias("need"))
+    once = met.groupBy("s1", "s2", "entry").agg(F.max("rare").alias("rare"), F.max("need").alias("need"), F.max("n_rare").alias("n_rare"))
+    by_class = once.groupBy("s1", "s2").agg(F.count_if(F.col("need").isNull()).alias("shared"), F.max("need").alias("need"), (F.max("n_rare") - F.count_if("rare")).alias("unmet"))
     classes = sets.where((F.col("n") > 0) & F.col("key").isNotNull()).groupBy("s1", "s2").agg(F.min("key").alias("node"), F.first("n").alias("n"))
     living = staged(by_class.where((F.col("shared") > 0) & (F.col("shared") >= F.col("need"))).join(classes, ["s1", "s2"]), "living-classes")
-    members = staged(met.where(F.col("need").isNull()).join(living.select("s1", "s2", "node", "n"), ["s1", "s2"]).select("entry", "node", "n").distinct(), "entry-members")
+    own_need = F.greatest("need", F.lit(1)).alias("need")
+    members = staged(met.where(F.col("need").isNull()).select("entry", "s1", "s2").join(living.select("s1", "s2", "node", "n", "unmet", own_need), ["s1", "s2"]).select("entry", "node", "n", "unmet", "need").distinct(), "entry-members")
     tokens = whole_sets(docs, living.select("node"), key, text)
 
     by_entry = Window.partitionBy("entry")
-    to_least = members.withColumn("least", F.min(F.struct("node", "n")).over(by_entry)).where((F.col("node") != F.col("least.node")) & sized("n", "least.n"))
-    star = staged(verified(to_least.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), tokens), "links-to-least")
-
-    roots = components(star)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = staged(placed.withColumn("low", F.min("root").over(by_entry)).withColumn("high", F.max("root").over(by_entry)).where("low != high").select("entry", "node", "n", "root"), "open-entries")
-    left, right = (open_.select("entry", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "root")]) for k in (1, 2))
-    rest = left.join(right, "entry").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & sized("n1", "n2"))
-    more = verified(rest.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct(), tokens)
-    return sets, star.unionByName(staged(more, "links-across"))
+    placed, found = members.withColumn("root", F.col("node")), None
+    for turn in range(ROUNDS):
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("mark") if turn else F.lit(0).alias("mark"), "node", "n", "unmet", "root")).over(by_entry)
+        near = placed.withColumn("pivot", pivot).where((F.col("root") != F.col("pivot.root")) & possible("n", "unmet", "pivot.n", "pivot.unmet"))
+        pairs = near.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        made = staged(verified(pairs, tokens), "links-to-pivot")
+        found = made if found is None else found.unionByName(made)
+        roots = components(found)
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = placed.withColumn("low", F.min("root").over(by_entry)).withColumn("high", F.max("root").over(by_entry)).where("low != high")
+        placed = staged(apart.select("entry", "node", "n", "unmet", "need", "root"), "open-entries")
+    left, right = (placed.select("entry", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "unmet", "need", "root")]) for k in (1, 2))
+    rest = left.join(right, "entry").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & possible("n1", "unmet1", "n2", "unmet2"))
+    rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need1", "need2")).alias("need")).where("shared >= need")
+    return sets, found.unionByName(staged(verified(rest.select("a", "b"), tokens), "links-across"))
 
 
 def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,8 +30,8 @@ from tessera.llm.rans import Tables, decode_block, encode_block, normalised
 
 #: A block is closed once it holds this many ids; a longer document makes a longer block.
 BLOCK_TOKENS = 1_000_000
-#: Stretches that a Python worker remembers; beyond it the memory is emptied. A speed setting only.
-CACHE_STRETCHES = 500_000
+#: Stretches that a Python worker remembers, twice: beyond it those not met again since are let go. A speed setting only.
+CACHE_STRETCHES = 600_000
 #: New stretches that go to the library as one text.
 BULK_STRETCHES = 4096
 #: White space but blank and line feed; a text with any of it goes to the library whole.
@@ -41,10 +41,10 @@ RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x
 class StretchTokenizer:
     """The tokenizers library, asked once per distinct stretch of text.
 
-    A byte-level vocabulary whose splitting pattern lets a word start with one blank never joins across a blank that
-    follows a visible character. So a text is cut before such blanks, and the ids of a stretch are remembered. New
-    stretches go to the library together, as one text, and are told apart by the ids that begin with the blank.
-    Texts where this doesn't hold (blank next to other white space, special strings) go to the library whole.
+    A byte-level vocabulary whose splitting pattern lets a word start with one blank never joins across a blank, or a
+    line feed, that stands between visible characters. So a text is cut before them, and the ids of a stretch are
+    remembered. New stretches go to the library together, as one text, and are told apart by the ids that begin with
+    the blank or the line feed. Other texts (white space in a row, special strings) go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,54 +54,60 @@ class StretchTokenizer:
         size = self.library.get_vocab_size()
         self.size = size
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        blank = "Ġ"
-        self.opens = np.zeros(size, bool)
+        self.opens = {" ": np.zeros(size, bool), "\n": np.zeros(size, bool)}
         for token, i in self.library.get_vocab().items():
-            self.opens[i] = token.startswith(blank)
+            self.opens[" "][i] = token.startswith("Ġ")
+            self.opens["\n"][i] = token.startswith("Ċ")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def plain(self, text: str) -> bool:
-        """Whether cutting at blanks is safe: each blank stands between visible characters, nothing special occurs."""
-        if text[0] == " " or text[-1] == " " or "  " in text or "\n " in text or " \n" in text:
+        """Whether the text may be cut: blanks and line feeds stand alone between visible characters, nothing special occurs."""
+        if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
             return False
         return not any([c in text for c in RARE_SPACE]) and not any([s in text for s in self.special])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian integers of `kind`."""
         if len(self.seen) > CACHE_STRETCHES:
-            self.seen.clear()
+            self.seen, self.older = {}, self.seen
         seen, out, cut, odd = self.seen, [b""] * len(texts), {}, []
         new: set[str] = set()
         for k, text in enumerate(texts):
             if text and self.plain(text):
-                first, *parts = text.split(" ")
+                first, *parts = text.replace("\n", " \n").split(" ")
                 cut[k] = (first, parts)
                 new.update(set(parts).difference(seen))
             elif text:
                 odd.append(k)
-        self.learn(list(new))
+        again = new.intersection(self.older)
+        seen.update([(p, self.older[p]) for p in again])
+        self.learn(list(new - again))
         firsts = self.whole([f for f, _ in cut.values()])
         for (k, (_, parts)), head in zip(cut.items(), firsts, strict=True):
-            out[k] = head + b"".join([seen[p] for p in parts])
+            out[k] = head + b"".join(map(seen.__getitem__, parts))
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
             out[k] = ids
         return out
 
     def learn(self, new: list[str]) -> None:
-        """Remember the ids of new stretches, each read with one blank before it."""
-        groups = [new[i : i + BULK_STRETCHES] for i in range(0, len(new), BULK_STRETCHES)]
+        """Remember the ids of new stretches: those with a line feed as they are, others with a blank before them."""
+        by_start = {"\n": [p for p in new if p[0] == "\n"], " ": [p for p in new if p[0] != "\n"]}
         step = self.kind.itemsize
-        for group, ids in zip(groups, self.whole([" " + " ".join(g) for g in groups]), strict=True):
-            starts = np.flatnonzero(self.opens[np.frombuffer(ids, self.kind)])
-            if len(starts) != len(group):  # a stretch has a blank-like start inside: ask for each alone
-                self.seen.update(zip(group, self.whole([" " + p for p in group]), strict=True))
-                continue
-            ends = [*(starts[1:] * step).tolist(), len(ids)]
-            self.seen.update(zip(group, [ids[a:b] for a, b in zip((starts * step).tolist(), ends, strict=True)], strict=True))
+        for start, own in by_start.items():
+            groups = [own[i : i + BULK_STRETCHES] for i in range(0, len(own), BULK_STRETCHES)]
+            bulk = ["".join(g) if start == "\n" else " " + " ".join(g) for g in groups]
+            for group, ids in zip(groups, self.whole(bulk), strict=True):
+                starts = np.flatnonzero(self.opens[start][np.frombuffer(ids, self.kind)])
+                if len(starts) != len(group):  # a start inside a stretch: ask for each alone
+                    self.seen.update(zip(group, self.whole([p if start == "\n" else " " + p for p in group]), strict=True))
+                    continue
+                ends = [*(starts[1:] * step).tolist(), len(ids)]
+                self.seen.update(zip(group, [ids[a:b] for a, b in zip((starts * step).tolist(), ends, strict=True)], strict=True))
 
 
 _tokenizers: dict[str, StretchTokenizer] = {}

@@ -163,8 +163,8 @@ def test_prefix_entries_meet_for_every_link():
         drop = r.permutation(n)[: int(0.11 * n)]
         b = np.unique(np.concatenate([np.delete(a, drop), r.choice(universe, len(drop))]))
         if jaccard_join.linked(a, b):
-            x, need = jaccard_join.entries(a, frequent)
-            y, other = jaccard_join.entries(b, frequent)
+            x, need, _ = jaccard_join.entries(a, frequent)
+            y, other, _ = jaccard_join.entries(b, frequent)
             assert len(np.intersect1d(x, y)) >= max(1, min(need, other))
 
 
