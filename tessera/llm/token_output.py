@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,12 @@ from tessera.llm.rans import Tables, decode_block, encode_block, normalised
 
 #: A block is closed once it holds this many ids; a longer document makes a longer block.
 BLOCK_TOKENS = 1_000_000
-#: Stretches that a Python worker remembers, twice: beyond it those not met again since are let go. A speed setting only.
-CACHE_STRETCHES = 600_000
+#: Stretches that a Python worker remembers; beyond it the memory is emptied. A speed setting only.
+CACHE_STRETCHES = 1_000_000
+#: Bits that hold the number of ids of a remembered stretch.
+LENGTH_BITS = 31
+#: Bytes of text that are tokenised together (one text at least).
+SLICE_BYTES = 4 << 20
 #: New stretches that go to the library as one text.
 BULK_STRETCHES = 4096
 #: White space but blank and line feed; a text with any of it goes to the library whole.
@@ -59,8 +64,7 @@ class StretchTokenizer:
             self.opens[" "][i] = token.startswith("Ġ")
             self.opens["\n"][i] = token.startswith("Ċ")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,41 +77,64 @@ class StretchTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian integers of `kind`."""
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        return [own.tobytes() for own in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def encode_column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has. Only distinct stretches are looked up."""
         if len(self.seen) > CACHE_STRETCHES:
-            self.seen, self.older = {}, self.seen
-        seen, out, cut, odd = self.seen, [b""] * len(texts), {}, []
-        new: set[str] = set()
-        for k, text in enumerate(texts):
-            if text and self.plain(text):
-                first, *parts = text.replace("\n", " \n").split(" ")
-                cut[k] = (first, parts)
-                new.update(set(parts).difference(seen))
-            elif text:
-                odd.append(k)
-        again = new.intersection(self.older)
-        seen.update([(p, self.older[p]) for p in again])
-        self.learn(list(new - again))
-        firsts = self.whole([f for f, _ in cut.values()])
-        for (k, (_, parts)), head in zip(cut.items(), firsts, strict=True):
-            out[k] = head + b"".join(map(seen.__getitem__, parts))
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-            out[k] = ids
-        return out
+            self.forget()
+        strings = texts.to_pylist()
+        plain = [bool(t) and self.plain(t) for t in strings]
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(plain, pa.bool_()), texts, ""), "\n", " \n"), " ")
+        firsts = np.asarray(cut.offsets)[:-1]
+        is_first = np.zeros(len(cut.values), bool)
+        is_first[firsts] = True
+        heads = self.whole([h if p else t for h, p, t in zip(cut.values.take(pa.array(firsts)).to_pylist(), plain, strings, strict=True)])
+        parts = cut.values.filter(pa.array(~is_first)).dictionary_encode()
+        distinct = parts.dictionary.to_pylist()
+        self.learn([p for p in distinct if p not in self.seen])
+        place = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))
+
+        # Stretch k of all is pool[starts[k] : starts[k] + lengths[k]]; the texts' heads stand behind what is remembered.
+        head_lengths = np.array([len(h) // self.kind.itemsize for h in heads], np.int64)
+        pool = np.concatenate([self.pool[: self.filled], np.frombuffer(b"".join(heads), self.kind)])
+        starts, lengths = np.empty(len(is_first), np.int64), np.empty(len(is_first), np.int64)
+        starts[firsts], lengths[firsts] = self.filled + np.cumsum(head_lengths) - head_lengths, head_lengths
+        own = place[np.asarray(parts.indices)]
+        starts[~is_first], lengths[~is_first] = own >> LENGTH_BITS, own & ((1 << LENGTH_BITS) - 1)
+        at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        return pool[at], np.add.reduceat(lengths, firsts) if len(firsts) else lengths
+
+    def forget(self) -> None:
+        """Start with an empty memory: where the ids of a stretch stand in `pool`, with their number in the low bits."""
+        self.seen: dict[str, int] = {}
+        self.pool, self.filled = np.empty(1 << 16, self.kind), 0
+
+    def remember(self, stretches: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
+        """`starts` are the places in `ids` where the ids of each stretch begin."""
+        if self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(len(self.pool) + len(ids), self.kind)])
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        lengths = np.diff(starts, append=len(ids))
+        self.seen.update(zip(stretches, (((starts + self.filled) << LENGTH_BITS) + lengths).tolist(), strict=True))
+        self.filled += len(ids)
 
     def learn(self, new: list[str]) -> None:
         """Remember the ids of new stretches: those with a line feed as they are, others with a blank before them."""
         by_start = {"\n": [p for p in new if p[0] == "\n"], " ": [p for p in new if p[0] != "\n"]}
-        step = self.kind.itemsize
         for start, own in by_start.items():
             groups = [own[i : i + BULK_STRETCHES] for i in range(0, len(own), BULK_STRETCHES)]
             bulk = ["".join(g) if start == "\n" else " " + " ".join(g) for g in groups]
-            for group, ids in zip(groups, self.whole(bulk), strict=True):
-                starts = np.flatnonzero(self.opens[start][np.frombuffer(ids, self.kind)])
+            for group, found in zip(groups, self.whole(bulk), strict=True):
+                ids = np.frombuffer(found, self.kind)
+                starts = np.flatnonzero(self.opens[start][ids])
                 if len(starts) != len(group):  # a start inside a stretch: ask for each alone
-                    self.seen.update(zip(group, self.whole([p if start == "\n" else " " + p for p in group]), strict=True))
-                    continue
-                ends = [*(starts[1:] * step).tolist(), len(ids)]
-                self.seen.update(zip(group, [ids[a:b] for a, b in zip((starts * step).tolist(), ends, strict=True)], strict=True))
+                    alone = self.whole([p if start == "\n" else " " + p for p in group])
+                    lengths = np.array([len(i) // self.kind.itemsize for i in alone], np.int64)
+                    ids, starts = np.frombuffer(b"".join(alone), self.kind), np.cumsum(lengths) - lengths
+                self.remember(group, ids, starts)
 
 
 _tokenizers: dict[str, StretchTokenizer] = {}
@@ -120,6 +147,15 @@ def tokenizer(path: str) -> StretchTokenizer:
     return _tokenizers[path]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch that hold about SLICE_BYTES of text (column 1) each."""
+    dealt = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), np.int64)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(dealt)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str) -> DataFrame:
     """Staged rows (shard, key, place in the shard, n_tokens, ids), sorted by key within and across shards."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
@@ -128,15 +164,15 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str
         from pyspark import TaskContext
 
         own, place, shard = tokenizer(vocabulary), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], own.kind).tobytes()
         for batch in batches:
-            for part in range(0, len(batch), 512):
-                some = batch.slice(part, 512)
-                ids = [i + end for i in own.encode(some.column(1).to_pylist())]
-                counts = np.array([len(i) // own.kind.itemsize for i in ids], np.int64)
-                places = place + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-                place += int(counts.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), some.column(0), pa.array(places), pa.array(counts), pa.array(ids, pa.binary())], ["shard", "key", "place", "n_tokens", "ids"])
+            for some in slices(batch):
+                ids, counts = own.encode_column(some.column(1))
+                ends = np.cumsum(counts)
+                ids, counts = np.insert(ids, ends, end_id), counts + 1
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((bounds * own.kind.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), shard, np.int32)), some.column(0), pa.array(place + bounds[:-1]), pa.array(counts), blobs], ["shard", "key", "place", "n_tokens", "ids"])
+                place += int(bounds[-1])
 
     kind = rows.schema["key"].dataType.simpleString()
     return staged(rows.mapInArrow(run, f"shard int, key {kind}, place long, n_tokens long, ids binary"), "token-ids")
@@ -148,8 +184,10 @@ def counted(ids: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                total += np.bincount(np.frombuffer(value.as_buffer(), kind), minlength=size) if value.is_valid else 0
+            blobs = batch.column(0)
+            offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+            ids = np.frombuffer(blobs.buffers()[2], kind, (int(offsets[-1]) - int(offsets[0])) // kind.itemsize, int(offsets[0])) if len(blobs) else []
+            total += np.bincount(ids, minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
