@@ -16,7 +16,8 @@ link when their sets' Jaccard similarity is at least `SIMILARITY`.
    tokens show as a shared entry of their own at least. So a class lives on only if it shares as many entries as e is
    above its number of groups (count filter).
 4. A third pass makes the whole sets of what lives on. Each entry's members are verified against one of them, in some
-   rounds with other pivots; what is linked to it needs no comparison with what else is. Of the pairs of members still
+   rounds with other pivots (in the first round a class is verified against one pivot only, which closes most entries
+   of large groups); what is linked to it needs no comparison with what else is. Of the pairs of members still
    in different components, those that share enough entries (count filter) are then verified one by one. No pair
    within a component is made, and none is left out.
 
@@ -47,8 +48,9 @@ FREQUENT_SHARE, FREQUENT_LEAST, MOST_FREQUENT = 0.002, 8, 100_000
 GROUPS, SMALL = 16, 64
 #: The count filter's part of a set: so many further prefix tokens, in hundredths.
 EXTEND = 10
-#: Rounds of comparing an entry's members with one of them.
-ROUNDS = 2
+#: Rounds of comparing an entry's members with one of them; in the first CENTRAL of them, a class is compared with just
+#: one of its entries' pivots, the one that it meets in most entries.
+ROUNDS, CENTRAL = 3, 1
 
 
 def shingles(text: str) -> np.ndarray:
@@ -287,7 +289,12 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     for turn in range(ROUNDS):
         pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("mark") if turn else F.lit(0).alias("mark"), "node", "n", "unmet", "root")).over(by_entry)
         near = placed.withColumn("pivot", pivot).where((F.col("root") != F.col("pivot.root")) & possible("n", "unmet", "pivot.n", "pivot.unmet"))
-        pairs = near.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        if turn < CENTRAL:
+            each = near.groupBy("node", F.col("pivot.node").alias("other")).agg(F.count("*").alias("shared"))
+            near = each.groupBy("node").agg(F.min_by("other", F.struct(-F.col("shared"), "other")).alias("other"))
+        else:
+            near = near.select("node", F.col("pivot.node").alias("other"))
+        pairs = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         made = staged(verified(pairs, tokens), "links-to-pivot")
         found = made if found is None else found.unionByName(made)
         roots = components(found)
