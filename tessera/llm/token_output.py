@@ -16,6 +16,7 @@ not read. A very long text makes one long block.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -53,6 +54,7 @@ class StretchTokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; Spark runs tasks side by side
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -88,10 +90,8 @@ class StretchTokenizer:
         plain = [bool(t) and self.plain(t) for t in strings]
         cut = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(plain, pa.bool_()), texts, ""), "\n", " \n"), " ")
         firsts = np.asarray(cut.offsets)[:-1]
-        is_first = np.zeros(len(cut.values), bool)
-        is_first[firsts] = True
         heads = self.whole([h if p else t for h, p, t in zip(cut.values.take(pa.array(firsts)).to_pylist(), plain, strings, strict=True)])
-        parts = cut.values.filter(pa.array(~is_first)).dictionary_encode()
+        parts = cut.values.dictionary_encode()
         distinct = parts.dictionary.to_pylist()
         self.learn([p for p in distinct if p not in self.seen])
         place = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))
@@ -99,17 +99,16 @@ class StretchTokenizer:
         # Stretch k of all is pool[starts[k] : starts[k] + lengths[k]]; the texts' heads stand behind what is remembered.
         head_lengths = np.array([len(h) // self.kind.itemsize for h in heads], np.int64)
         pool = np.concatenate([self.pool[: self.filled], np.frombuffer(b"".join(heads), self.kind)])
-        starts, lengths = np.empty(len(is_first), np.int64), np.empty(len(is_first), np.int64)
-        starts[firsts], lengths[firsts] = self.filled + np.cumsum(head_lengths) - head_lengths, head_lengths
         own = place[np.asarray(parts.indices)]
-        starts[~is_first], lengths[~is_first] = own >> LENGTH_BITS, own & ((1 << LENGTH_BITS) - 1)
+        own[firsts] = ((self.filled + np.cumsum(head_lengths) - head_lengths) << LENGTH_BITS) + head_lengths
+        starts, lengths = own >> LENGTH_BITS, own & ((1 << LENGTH_BITS) - 1)
         at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
         at += np.arange(len(at))
         return pool[at], np.add.reduceat(lengths, firsts) if len(firsts) else lengths
 
     def forget(self) -> None:
         """Start with an empty memory: where the ids of a stretch stand in `pool`, with their number in the low bits."""
-        self.seen: dict[str, int] = {}
+        self.seen: dict[str, int] = {"": 0}
         self.pool, self.filled = np.empty(1 << 16, self.kind), 0
 
     def remember(self, stretches: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
