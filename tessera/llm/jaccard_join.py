@@ -12,9 +12,11 @@ link when their sets' Jaccard similarity is at least `SIMILARITY`.
    groups with tokens in the prefix, so by the pigeonhole principle some rare token or some combination is shared.
    Small sets, whose overlap may be less than that, index frequent tokens singly, as do sets a little larger, so that
    every possible pair meets in one of both ways.
-3. Entries met by two classes are kept; rare tokens that no other class meets are counted, as they bound every overlap. Of the tokens that two prefixes share, all but one per group of frequent
-   tokens show as a shared entry of their own at least. So a class lives on only if it shares as many entries as e is
-   above its number of groups (count filter).
+3. Entries met by two classes are kept; a class's rare prefix tokens that no other prefix holds (unmet) are counted.
+   Another set may still hold them beyond its prefix, but not if its rare prefix reaches as far in the order of
+   tokens: so of two sets, the one whose rare prefix ends first cannot share its unmet tokens. Of the tokens that two
+   prefixes share, all but one per group of frequent tokens show as a shared entry of their own at least. So a class
+   lives on only if it shares as many entries as e is above its number of groups (count filter).
 4. A third pass makes the whole sets of what lives on. Each entry's members are verified against one of them, in some
    rounds with other pivots; what is linked to it needs no comparison with what else is. Of the pairs of members still
    in different components, those that share enough entries (count filter) are then verified one by one. No pair
@@ -47,6 +49,8 @@ FREQUENT_SHARE, FREQUENT_LEAST, MOST_FREQUENT = 0.002, 8, 100_000
 GROUPS, SMALL = 16, 64
 #: The count filter's part of a set: so many further prefix tokens, in hundredths.
 EXTEND = 10
+#: End of a rare prefix that holds all rare tokens of its set.
+NO_END = np.iinfo(np.int64).max
 #: Rounds of comparing an entry's members with one of them.
 ROUNDS = 2
 
@@ -109,6 +113,12 @@ def entries(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int,
     return np.concatenate(found), extra - (len(np.unique(groups)) if n > SMALL else 0), len(found[0])
 
 
+def rare_end(found: np.ndarray, n_rare: int) -> int:
+    """Where a rare prefix ends in the order of tokens, from a set's entries; those of frequent tokens come after all
+    rare ones."""
+    return NO_END if len(found) > n_rare or not n_rare else int((found[n_rare - 1] ^ np.uint64(1 << 63)).view(np.int64))
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test on two ascending sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -168,8 +178,8 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def index_of(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> DataFrame:
-    """Rows (entry, s1, s2, rare, need, n_rare): index entries of every class, and one row with `need` and the number
-    of rare entries for the class itself."""
+    """Rows (entry, s1, s2, rare, need, n_rare, end): index entries of every class, and one row with `need`, the
+    number of rare entries and the end of the rare prefix for the class itself."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
     source = docs.where(F.col(key).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     none = np.iinfo(np.int32).min
@@ -177,7 +187,7 @@ def index_of(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            found, rare, needs, sizes, first, second = [], [], [], [], [], []
+            found, rare, needs, ends, sizes, first, second = [], [], [], [], [], [], []
             for t in batch.column(0):
                 own = shingles(t.as_py())
                 sig = signature(own)
@@ -188,15 +198,16 @@ def index_of(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> Data
                 found += [some, np.array([sig[0] ^ sig[1]], np.int64).view(np.uint64)]
                 rare.append(np.arange(len(some) + 1) < n_rare)
                 needs += [np.full((len(some), 2), none, np.int32), np.array([[least, n_rare]], np.int32)]
+                ends += [np.zeros(len(some), np.int64), np.array([rare_end(some, n_rare)])]
                 sizes.append(len(some) + 1)
                 first.append(sig[0])
                 second.append(sig[1])
             if found:
                 repeat, both = np.array(sizes), np.concatenate(needs)
                 own = [_signed(np.concatenate(found)), *(pa.array(np.repeat(np.array(x, np.int64), repeat)) for x in (first, second)), pa.array(np.concatenate(rare))]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(both[:, i], mask=both[:, i] == none) for i in (0, 1))], ["entry", "s1", "s2", "rare", "need", "n_rare"])
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(both[:, i], mask=both[:, i] == none) for i in (0, 1)), pa.array(np.concatenate(ends), mask=both[:, 0] == none)], ["entry", "s1", "s2", "rare", "need", "n_rare", "end"])
 
-    return source.mapInArrow(run, "entry long, s1 long, s2 long, rare boolean, need int, n_rare int")
+    return source.mapInArrow(run, "entry long, s1 long, s2 long, rare boolean, need int, n_rare int, end long")
 
 
 def filter_of(keys: DataFrame) -> Level | None:
@@ -256,10 +267,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def possible(n1: str, unmet1: str, n2: str, unmet2: str) -> Column:
-    """Whether two sets could link: neither shares its unmet rare tokens, and what is left must be enough."""
-    most = F.least(F.col(n1) - F.col(unmet1), F.col(n2) - F.col(unmet2))
-    return (100 + PERCENT) * most >= PERCENT * (F.col(n1) + F.col(n2))
+def possible(one: str, two: str) -> Column:
+    """Whether two sets could link: the one whose rare prefix ends first shares none of its unmet rare tokens (both do
+    not if the ends are equal), and what is left must be enough. `one` and `two` are patterns of column names."""
+    n1, unmet1, end1, n2, unmet2, end2 = (F.col(side.format(c)) for side in (one, two) for c in ("n", "unmet", "end"))
+    most = F.least(n1 - F.when(end1 <= end2, unmet1).otherwise(0), n2 - F.when(end2 <= end1, unmet2).otherwise(0))
+    return (100 + PERCENT) * most >= PERCENT * (n1 + n2)
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -274,28 +287,28 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     met = index_of(docs, frequent, key, text).withColumn("least", F.min(own).over(whole)).withColumn("most", F.max(own).over(whole))
     met = staged(met.where(F.col("need").isNotNull() | (F.col("least") != F.col("most"))).drop("least", "most"), "met-entries")
 
-    once = met.groupBy("s1", "s2", "entry").agg(F.max("rare").alias("rare"), F.max("need").alias("need"), F.max("n_rare").alias("n_rare"))
-    by_class = once.groupBy("s1", "s2").agg(F.count_if(F.col("need").isNull()).alias("shared"), F.max("need").alias("need"), (F.max("n_rare") - F.count_if("rare")).alias("unmet"))
+    once = met.groupBy("s1", "s2", "entry").agg(F.max("rare").alias("rare"), F.max("need").alias("need"), F.max("n_rare").alias("n_rare"), F.max("end").alias("end"))
+    by_class = once.groupBy("s1", "s2").agg(F.count_if(F.col("need").isNull()).alias("shared"), F.max("need").alias("need"), (F.max("n_rare") - F.count_if("rare")).alias("unmet"), F.max("end").alias("end"))
     classes = sets.where((F.col("n") > 0) & F.col("key").isNotNull()).groupBy("s1", "s2").agg(F.min("key").alias("node"), F.first("n").alias("n"))
     living = staged(by_class.where((F.col("shared") > 0) & (F.col("shared") >= F.col("need"))).join(classes, ["s1", "s2"]), "living-classes")
     own_need = F.greatest("need", F.lit(1)).alias("need")
-    members = staged(met.where(F.col("need").isNull()).select("entry", "s1", "s2").join(living.select("s1", "s2", "node", "n", "unmet", own_need), ["s1", "s2"]).select("entry", "node", "n", "unmet", "need").distinct(), "entry-members")
+    members = staged(met.where(F.col("need").isNull()).select("entry", "s1", "s2").join(living.select("s1", "s2", "node", "n", "unmet", "end", own_need), ["s1", "s2"]).select("entry", "node", "n", "unmet", "end", "need").distinct(), "entry-members")
     tokens = whole_sets(docs, living.select("node"), key, text)
 
     by_entry = Window.partitionBy("entry")
     placed, found = members.withColumn("root", F.col("node")), None
     for turn in range(ROUNDS):
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("mark") if turn else F.lit(0).alias("mark"), "node", "n", "unmet", "root")).over(by_entry)
-        near = placed.withColumn("pivot", pivot).where((F.col("root") != F.col("pivot.root")) & possible("n", "unmet", "pivot.n", "pivot.unmet"))
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("mark") if turn else F.lit(0).alias("mark"), "node", "n", "unmet", "end", "root")).over(by_entry)
+        near = placed.withColumn("pivot", pivot).where((F.col("root") != F.col("pivot.root")) & possible("{}", "pivot.{}"))
         pairs = near.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         made = staged(verified(pairs, tokens), "links-to-pivot")
         found = made if found is None else found.unionByName(made)
         roots = components(found)
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = placed.withColumn("low", F.min("root").over(by_entry)).withColumn("high", F.max("root").over(by_entry)).where("low != high")
-        placed = staged(apart.select("entry", "node", "n", "unmet", "need", "root"), "open-entries")
-    left, right = (placed.select("entry", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "unmet", "need", "root")]) for k in (1, 2))
-    rest = left.join(right, "entry").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & possible("n1", "unmet1", "n2", "unmet2"))
+        placed = staged(apart.select("entry", "node", "n", "unmet", "end", "need", "root"), "open-entries")
+    left, right = (placed.select("entry", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "unmet", "end", "need", "root")]) for k in (1, 2))
+    rest = left.join(right, "entry").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & possible("{}1", "{}2"))
     rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need1", "need2")).alias("need")).where("shared >= need")
     return sets, found.unionByName(staged(verified(rest.select("a", "b"), tokens), "links-across"))
 

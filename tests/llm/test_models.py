@@ -153,6 +153,17 @@ def test_jaccard_join(docs):
     assert len(edge) == len(EDGES) and next(x for x in edge if x.doc_id is None).component_id is None
 
 
+def test_jaccard_join_links_a_text_with_its_part(docs):
+    r = random.Random(8)
+    rows = []
+    for part, size in [(81, 100), (80, 100), (90, 110), (86, 100), (405, 500)] * 12:  # shingles; words are new in each pair
+        whole = [f"p{len(rows)}x{i}" for i in range(size + 4)]
+        at = r.randint(0, size - part)
+        rows += [(len(rows), " ".join(whole[at : at + part + 4])), (len(rows) + 1, " ".join(whole))]
+    got = {x.doc_id: x.component_id for x in jaccard_join.clustered(docs(rows).repartition(3)).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_prefix_entries_meet_for_every_link():
     r = np.random.default_rng(3)
     universe = np.sort(r.integers(0, 1 << 63, 6000, dtype=np.uint64))
