@@ -94,6 +94,16 @@ def test_decontamination(spark, docs):
     assert decontamination.contaminated(docs([]), bench).count() == 0
 
 
+def test_long_items_are_found(spark, docs):
+    r = random.Random(9)
+    items = [" ".join(words(r, n)) + "." for n in (40, 182, 183, 400, 1500)]
+    rows = [(i, " ".join(words(r, r.randint(0, 90)) + items[i % 5].split() + words(r, 70))) for i in range(10)]
+    rows += [(10 + i, " ".join(words(r, 300))) for i in range(20)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.cover for x in decontamination.contaminated(docs(rows), bench).collect()}
+    assert set(got) == {(i, i % 5) for i in range(10)} and min(got.values()) > 0.99
+
+
 def test_common_subsequence():
     def brute(a, b):
         m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
