@@ -94,6 +94,25 @@ def test_decontamination(spark, docs):
     assert decontamination.contaminated(docs([]), bench).count() == 0
 
 
+@pytest.mark.parametrize("total", [10_000, 400_000, 12_000_000, 10**9])
+def test_verbatim_items_stay_candidates_as_the_corpus_grows(total):
+    r = random.Random(4)
+    items = [decontamination.words(" ".join(words(r, n))) for n in (4, 8, 15, 17, 30, 49, 60) for _ in range(5)]
+    bench = decontamination.Benchmark(np.unique(np.concatenate(items)), [], items, items, list(enumerate(items)))
+    bench.weigh(np.full(len(bench.vocabulary), 0.05 * total), total)  # common words
+    for item in items:
+        for at in range(80, 96):
+            text = np.concatenate([np.arange(at, dtype=np.uint64), item, np.arange(100, dtype=np.uint64)])
+            found = bench.at(text)
+            cosines = []
+            for span in (decontamination.BLOCK * w for w in decontamination.WINDOWS):
+                for k in range(0, len(text) - span, decontamination.BLOCK):
+                    some, x = bench.vector(found[k : k + span])
+                    y = bench.idf[some] * np.isin(bench.vocabulary[some], item)
+                    cosines.append(float(x @ y) / np.sqrt(bench.weights(found[k : k + span]).sum() * (bench.idf[bench.at(item)] ** 2).sum()))
+            assert max(cosines) >= decontamination.COSINE
+
+
 def test_long_items_are_found(spark, docs):
     r = random.Random(9)
     items = [" ".join(words(r, n)) + "." for n in (40, 182, 183, 400, 1500)]
