@@ -1,10 +1,12 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block (a line) meets a template if it contains at least `THRESHOLD` of the template's distinct words. Words are
-ordered by their frequency over all documents, rarest first. A block that meets a template of t words has one of its
+A block is a line, a sentence of a line, or a run of adjacent lines: any that a notice wrapped over them could fill,
+as the words between its first and last line are no more than the longest template has, with room for edits. A block
+meets a template if it contains at least `THRESHOLD` of the template's distinct words. Words are ordered by their frequency over all documents, rarest first. A block that meets a template of t words has one of its
 first t - ceil(THRESHOLD * t) + 1 words (prefix filter), at least ceil(THRESHOLD * t) template words (length filter),
 and enough words of the order from the first common one on (positional filter). What passes is verified by counting.
-A block is labelled by the template that it contains best, the last by name at ties.
+All templates that a block meets label it, but for near variants: a template that most of another's words would meet
+too gives way to it where the block contains the other better, or as well if the other has all its words and more.
 Beside it stand the base phrases: places where their words stand consecutively.
 
 Defined results: a null text counts as empty; a document without words has no places, no labels and score 0; repeated
@@ -85,33 +87,54 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: d
     for t, (label, words) in enumerate(sets):
         own = sorted(words, key=rank.get)
         least = need(len(own), threshold)
+        variants = [v for v, (_, other) in enumerate(sets) if v != t and len(set(own) & set(other)) >= least]
+        wider = [v for v in variants if set(own) < set(sets[v][1])]
         first = own[: len(own) - least + 1]
         prefixes.update(first)
-        index += [(w, t, label, at, len(own), least, own) for at, w in enumerate(first)]
+        index += [(w, t, label, at, len(own), least, own, variants, wider) for at, w in enumerate(first)]
 
-    # A line's template words in global order, for lines with a prefix word and as many words as the least template needs.
+    # A block's template words in global order, for blocks with a prefix word and as many words as the least template
+    # needs. Blocks are made only in texts that as a whole meet a template: in others no block does.
     shortest = min(need(len(s), threshold) for _, s in sets)
+    between = math.ceil(round(max(len([w for w in re.split(NOT_WORD, t) if w]) for _, t in templates) / threshold, 9))
     some = F.array(*[F.lit(w) for w in order if w in prefixes])
-    line_sets = F.transform(F.split("_t", "\n"), lambda line: F.array_intersect(F.array(*map(F.lit, order)), F.split(line, NOT_WORD)))
-    blocks = F.filter(line_sets, lambda s: (F.size(s) >= shortest) & F.arrays_overlap(s, some))
+    in_order = lambda words: F.array_intersect(F.array(*map(F.lit, order)), words)
+    enough = lambda s: (F.size(s) >= shortest) & F.arrays_overlap(s, some)
+    likely = F.lit(False)
+    for _, own in sets:
+        likely = likely | (F.size(F.array_intersect(F.array(*map(F.lit, own)), F.col("_s"))) >= need(len(own), threshold))
     maybe = F.lit(False)
     for w in sorted(prefixes):
         maybe = maybe | F.contains("_t", F.lit(w))
+    lines = F.transform(F.split("_t", "\n"), lambda x: F.struct(F.size(words_of(x)).alias("n"), in_order(F.split(x, NOT_WORD)).alias("s")))
+    sentences = F.filter(F.transform(F.split("_t", r"\n|[.;!?]\s"), lambda x: in_order(F.split(x, NOT_WORD))), enough)
     found = [places(p).alias(f"_p{k}") for k, p in enumerate(phrases)]
-    rows = whole.select("key", "_t", words_of(F.col("_t")).alias("_w")).select("key", F.size("_w").cast("long").alias("n_words"), *found, F.when(maybe, blocks).alias("_b"))
+    rows = whole.select("key", "_t", words_of(F.col("_t")).alias("_w")).select("key", "_t", F.size("_w").cast("long").alias("n_words"), *found, F.when(maybe, in_order(F.col("_w"))).alias("_s"))
+    rows = rows.select("*", F.coalesce(likely, F.lit(False)).alias("_likely")).drop("_s")
+    rows = rows.select("*", F.when(F.col("_likely"), F.filter(lines, lambda x: x["n"] > 0)).alias("_lines"), F.when(F.col("_likely"), sentences).alias("_sentences")).drop("_t", "_likely")
     rows = staged(rows.withColumn("_row", F.monotonically_increasing_id()), "license-blocks")
 
+    # Runs of lines: from each line with template words, on to each such line with few enough words between.
+    starts = F.transform("_lines", lambda x, i: F.slice("_lines", i + 1, between + 2))
+    run = rows.where(F.size("_lines") > 0).select("_row", F.explode(F.filter(starts, lambda g: F.size(g[0]["s"]) > 0)).alias("g"))
+    run = run.select("_row", "g", F.explode(F.sequence(F.lit(1), F.size("g"))).alias("k")).where(F.size(F.col("g")[F.col("k") - 1]["s"]) > 0)
+    inner = F.aggregate(F.slice("g", F.lit(2), F.greatest(F.col("k") - 2, F.lit(0))), F.lit(0), lambda n, x: n + x["n"])
+    run = run.where(inner <= between).select("_row", in_order(F.flatten(F.transform(F.slice("g", F.lit(1), F.col("k")), lambda x: x["s"]))).alias("b")).where(enough(F.col("b")))
+    blocks = run.unionByName(rows.where(F.size("_sentences") > 0).select("_row", F.explode("_sentences").alias("b"))).distinct()
+
     # The index has one row per prefix word of the given templates, so its size is that of the parameter.
-    entries = F.broadcast(spark.createDataFrame(index, "w string, t int, label string, at int, size int, least int, words array<string>"))
-    probes = rows.where(F.size("_b") > 0).select("_row", F.posexplode("_b").alias("at_block", "b")).select("_row", "at_block", "b", F.posexplode("b").alias("in_block", "w")).where(F.array_contains(some, F.col("w")))
+    entries = F.broadcast(spark.createDataFrame(index, "w string, t int, label string, at int, size int, least int, words array<string>, variants array<int>, wider array<int>"))
+    probes = blocks.select("_row", "b", F.posexplode("b").alias("in_block", "w")).where(F.array_contains(some, F.col("w")))
     close = probes.join(entries, "w").where(
         (F.size("b") >= F.col("least"))
         & (F.least(F.size("b") - F.col("in_block"), F.col("size") - F.col("at")) + F.least("in_block", "at") >= F.col("least"))
     )
     common = F.size(F.array_intersect("b", "words"))
-    pairs = close.where(common >= F.col("least")).select("_row", "at_block", "label", (common / F.col("size")).alias("c"))
-    best = pairs.groupBy("_row", "at_block").agg(F.max_by("label", F.struct("c", "label")).alias("label"), F.max("c").alias("c"))
-    met = best.groupBy("_row").agg(F.collect_set("label").alias("_m"), F.max("c").alias("_c"))
+    pairs = close.where(common >= F.col("least")).select("_row", "b", F.struct("t", "label", (common / F.col("size")).alias("c"), "variants", "wider").alias("p"))
+    pairs = pairs.groupBy("_row", "b").agg(F.collect_set("p").alias("_all"))
+    beaten = lambda p: F.exists("_all", lambda q: (F.array_contains(p["variants"], q["t"]) & (q["c"] > p["c"])) | (F.array_contains(p["wider"], q["t"]) & (q["c"] >= p["c"])))
+    left = pairs.select("_row", F.explode(F.filter("_all", lambda p: ~beaten(p))).alias("p"))
+    met = left.groupBy("_row").agg(F.collect_set("p.label").alias("_m"), F.max("p.c").alias("_c"))
 
     every = F.concat(*[F.col(f"_p{k}") for k in range(len(phrases))])
     base = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))

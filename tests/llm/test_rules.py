@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -106,3 +107,13 @@ def test_licenses(docs):
         assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels)))
     assert got["54"].labels == "gpl-3" and got["55"].labels == "" and 0 <= got["54"].score <= 1
     assert license_scan.scanned(docs([])).count() == 0
+
+
+def test_all_notices_of_a_block_and_wrapped_ones(docs):
+    notice = dict(license_scan.TEMPLATES)
+    wrap = lambda t, width: "\n".join(textwrap.wrap(f"Some text before it. {t} Some text after it.", width))
+    cases = [(f"{notice['cc-by-sa']} {notice['gpl-3']}", "cc-by-sa,gpl-3"), (f"{notice['gpl-3']} {notice['lgpl-3']}", "gpl-3,lgpl-3"), (f"{notice['cc-by-nc']} x {notice['cc-by-sa']}", "cc-by-nc,cc-by-sa")]
+    cases += [(notice[k], k) for k in notice] + [(wrap(notice[k], width), k) for k in notice for width in (72, 40, 14)]
+    cases += [("Redistribution and use\nin source and\n\nsome quite different prose", "")]
+    got = {x.doc_id: x.labels for x in license_scan.scanned(docs([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [(t, set(filter(None, got[i].split(",")))) for i, (t, _) in enumerate(cases)] == [(t, set(filter(None, x.split(",")))) for t, x in cases]
