@@ -5,7 +5,12 @@ A text becomes its code points; n-grams and words become 64-bit mixes of them, a
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 GRAM = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -67,3 +72,80 @@ def sparse_counts(buckets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
     counts = np.bincount(buckets, minlength=size)
     some = np.flatnonzero(counts)
     return some, counts[some]
+
+
+#: A random number for each byte, and the base of the powers by places, with its inverse modulo 2^64.
+BYTES = np.random.default_rng(21).integers(0, 1 << 63, 256, dtype=np.uint64)
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes that are hashed together (one word at least), and bytes of text that are handled together (one text at least).
+HASH_BYTES, SLICE_BYTES = 1 << 20, 4 << 20
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, size: int) -> np.ndarray:
+    """base ** 0, base ** 1 and so on, modulo 2^64."""
+    if len(_powers.get(base, ())) < size:
+        factors = np.full(max(size, HASH_BYTES + 64), base, np.uint64)
+        factors[0] = 1
+        _powers[base] = np.multiply.accumulate(factors)
+    return _powers[base][:size]
+
+
+@dataclass
+class Words:
+    """Word hashes of some texts, one text after another; those of text r stand from bounds[r] to bounds[r + 1]."""
+
+    hashes: np.ndarray
+    bounds: np.ndarray
+
+    def row(self, r: int) -> np.ndarray:
+        return self.hashes[self.bounds[r] : self.bounds[r + 1]]
+
+    def rows(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+
+def words_of(texts: pa.StringArray, separators: bytes) -> Words:
+    """64-bit hashes of the words (stretches of other bytes than `separators`, which are ASCII) of texts without nulls.
+
+    A word's hash is the sum of its bytes' random numbers times powers of BASE by place: a difference of running sums
+    over all texts, moved back to place 0.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    size = int(offsets[-1] - offsets[0])
+    if not size:
+        return Words(np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64))
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = np.ones(256, bool)
+    inside[list(separators)] = False
+    inside = inside[data]
+    opens, closes, edges = inside.copy(), np.zeros(size + 1, bool), offsets[(offsets > 0) & (offsets < size)]
+    opens[1:] &= ~inside[:-1]
+    opens[edges] = inside[edges]
+    closes[1:-1] = inside[:-1] & ~inside[1:]
+    closes[edges] = inside[edges - 1]
+    closes[-1] = inside[-1]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = int(np.searchsorted(starts, starts[first] + HASH_BYTES))
+        a, b = int(starts[first]), int(ends[last - 1])
+        running = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(BYTES[data[a:b]] * powers(BASE, b - a), out=running[1:])
+        hashes[first:last] = (running[ends[first:last] - a] - running[starts[first:last] - a]) * powers(INVERSE, b - a)[starts[first:last] - a]
+        first = last
+    return Words(mixed(hashes + (ends - starts).astype(np.uint64) * GRAM[2]), np.searchsorted(starts, offsets).astype(np.int64))
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches that hold about SLICE_BYTES of text (in column number `text`, without nulls) each."""
+    for batch in batches:
+        dealt = np.cumsum(np.asarray(pc.binary_length(batch.column(text)), np.int64)) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(dealt)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)

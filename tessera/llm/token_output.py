@@ -9,9 +9,9 @@ Steps, each a Spark job over the whole table:
 4. the staged ids are coded in blocks of whole documents and written. A file is a Parquet container whose rows are
    self-contained blocks (`tessera.llm.rans`); the tables are written beside it.
 
-Defined results: a null text counts as empty and yields the end id alone; null keys come first; rows that share a key
-stay separate rows, in the order of their text; an empty table yields a file set without blocks; other columns are
-not read. A very long text makes one long block.
+Defined results: a null text counts as empty and yields the end id alone; null keys come first; keys are of any type
+that Spark orders; rows that share a key stay separate rows, in the order of their texts' hashes; an empty table
+yields a file set without blocks; other columns are not read. A very long text makes one long block.
 """
 
 from __future__ import annotations
@@ -28,22 +28,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir, staged
+from tessera.llm.hashing import slices
 from tessera.llm.rans import Tables, decode_block, encode_block, normalised
 
 #: A block is closed once it holds this many ids; a longer document makes a longer block.
 BLOCK_TOKENS = 1_000_000
 #: Stretches that a Python worker remembers; beyond it the memory is emptied. A speed setting only.
 CACHE_STRETCHES = 1_000_000
-#: Bits that hold the number of ids of a remembered stretch.
-LENGTH_BITS = 31
-#: Bytes of text that are tokenised together (one text at least).
-SLICE_BYTES = 4 << 20
 #: New stretches that go to the library as one text.
 BULK_STRETCHES = 4096
 #: White space but blank and line feed; a text with any of it goes to the library whole.
 RARE_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (0x0A, 0x20)]
 
 
+class Places(dict):
+    """The number of each remembered stretch; an unknown one gets the next number and is noted in `new`."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})  # the place of a text's head
+        self.new: list[str] = []
+
+    def __missing__(self, stretch: str) -> int:
+        self.new.append(stretch)
+        self[stretch] = number = len(self)
+        return number
+
+
 class StretchTokenizer:
     """The tokenizers library, asked once per distinct stretch of text.
 
@@ -84,6 +94,8 @@ class StretchTokenizer:
 
     def encode_column(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has. Only distinct stretches are looked up."""
+        if not len(texts):
+            return np.empty(0, self.kind), np.empty(0, np.int64)
         if len(self.seen) > CACHE_STRETCHES:
             self.forget()
         strings = texts.to_pylist()
@@ -92,42 +104,47 @@ class StretchTokenizer:
         firsts = np.asarray(cut.offsets)[:-1]
         heads = self.whole([h if p else t for h, p, t in zip(cut.values.take(pa.array(firsts)).to_pylist(), plain, strings, strict=True)])
         parts = cut.values.dictionary_encode()
-        distinct = parts.dictionary.to_pylist()
-        self.learn([p for p in distinct if p not in self.seen])
-        place = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary), " ")[0].as_py().split(" ")
+        numbers = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))
+        if self.seen.new:
+            self.learn(self.seen.new)
+        numbers = numbers[np.asarray(parts.indices)]
 
-        # Stretch k of all is pool[starts[k] : starts[k] + lengths[k]]; the texts' heads stand behind what is remembered.
+        # The ids of stretch k are pool[starts[k] : starts[k] + lengths[k]]; the heads stand behind what is remembered.
         head_lengths = np.array([len(h) // self.kind.itemsize for h in heads], np.int64)
         pool = np.concatenate([self.pool[: self.filled], np.frombuffer(b"".join(heads), self.kind)])
-        own = place[np.asarray(parts.indices)]
-        own[firsts] = ((self.filled + np.cumsum(head_lengths) - head_lengths) << LENGTH_BITS) + head_lengths
-        starts, lengths = own >> LENGTH_BITS, own & ((1 << LENGTH_BITS) - 1)
+        starts, lengths = self.starts[numbers], self.lengths[numbers]
+        starts[firsts], lengths[firsts] = self.filled + np.cumsum(head_lengths) - head_lengths, head_lengths
         at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
         at += np.arange(len(at))
-        return pool[at], np.add.reduceat(lengths, firsts) if len(firsts) else lengths
+        return pool[at], np.add.reduceat(lengths, firsts)
 
     def forget(self) -> None:
-        """Start with an empty memory: where the ids of a stretch stand in `pool`, with their number in the low bits."""
-        self.seen: dict[str, int] = {"": 0}
+        """Start with an empty memory."""
+        self.seen = Places()
         self.pool, self.filled = np.empty(1 << 16, self.kind), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def remember(self, stretches: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
         """`starts` are the places in `ids` where the ids of each stretch begin."""
         if self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(len(self.pool) + len(ids), self.kind)])
+        if len(self.seen) > len(self.starts):
+            more = np.zeros(len(self.seen), np.int64)
+            self.starts, self.lengths = np.concatenate([self.starts, more]), np.concatenate([self.lengths, more])
         self.pool[self.filled : self.filled + len(ids)] = ids
-        lengths = np.diff(starts, append=len(ids))
-        self.seen.update(zip(stretches, (((starts + self.filled) << LENGTH_BITS) + lengths).tolist(), strict=True))
+        numbers = np.fromiter(map(self.seen.__getitem__, stretches), np.int64, len(stretches))
+        self.starts[numbers], self.lengths[numbers] = starts + self.filled, np.diff(starts, append=len(ids))
         self.filled += len(ids)
 
     def learn(self, new: list[str]) -> None:
         """Remember the ids of new stretches: those with a line feed as they are, others with a blank before them."""
+        self.seen.new = []
         by_start = {"\n": [p for p in new if p[0] == "\n"], " ": [p for p in new if p[0] != "\n"]}
         for start, own in by_start.items():
             groups = [own[i : i + BULK_STRETCHES] for i in range(0, len(own), BULK_STRETCHES)]
-            bulk = ["".join(g) if start == "\n" else " " + " ".join(g) for g in groups]
-            for group, found in zip(groups, self.whole(bulk), strict=True):
-                ids = np.frombuffer(found, self.kind)
+            for group in groups:
+                ids = np.frombuffer(self.whole(["".join(group) if start == "\n" else " " + " ".join(group)])[0], self.kind)
                 starts = np.flatnonzero(self.opens[start][ids])
                 if len(starts) != len(group):  # a start inside a stretch: ask for each alone
                     alone = self.whole([p if start == "\n" else " " + p for p in group])
@@ -146,32 +163,27 @@ def tokenizer(path: str) -> StretchTokenizer:
     return _tokenizers[path]
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of the batch that hold about SLICE_BYTES of text (column 1) each."""
-    dealt = np.cumsum(np.asarray(pc.binary_length(batch.column(1)), np.int64)) // SLICE_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(dealt)) + 1).tolist(), len(batch)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str) -> DataFrame:
-    """Staged rows (shard, key, place in the shard, n_tokens, ids), sorted by key within and across shards."""
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
+    """Staged rows (shard, key, place in the shard, n_tokens, ids), sorted by key within and across shards.
+
+    The ranges go by text hash and row number too, so that a key, or a row, that stands often is split.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), whole.alias("text"), F.xxhash64(whole).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.repartitionByRange("key", "_hash", "_row").sortWithinPartitions("key", "_hash", "_row").select("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, place, shard = tokenizer(vocabulary), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for some in slices(batch):
-                ids, counts = own.encode_column(some.column(1))
-                ends = np.cumsum(counts)
-                ids, counts = np.insert(ids, ends, end_id), counts + 1
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                blobs = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((bounds * own.kind.itemsize).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), shard, np.int32)), some.column(0), pa.array(place + bounds[:-1]), pa.array(counts), blobs], ["shard", "key", "place", "n_tokens", "ids"])
-                place += int(bounds[-1])
+        for some in slices(batches, 1):
+            ids, counts = own.encode_column(some.column(1))
+            ends = np.cumsum(counts)
+            ids, counts = np.insert(ids, ends, end_id), counts + 1
+            bounds = np.concatenate([[0], np.cumsum(counts)])
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((bounds * own.kind.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), shard, np.int32)), some.column(0), pa.array(place + bounds[:-1]), pa.array(counts), blobs], ["shard", "key", "place", "n_tokens", "ids"])
+            place += int(bounds[-1])
 
     kind = rows.schema["key"].dataType.simpleString()
     return staged(rows.mapInArrow(run, f"shard int, key {kind}, place long, n_tokens long, ids binary"), "token-ids")
@@ -210,11 +222,10 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int, ke
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq) if f], "id int, freq long").coalesce(1).write.mode("overwrite").parquet(f"{path}/tables")
     tables_of = spark.sparkContext.broadcast(freq)  # one entry per id of the vocabulary
     key_kind = ids.schema["key"].dataType.simpleString()
-    key_arrow = pa.int64() if key_kind == "bigint" else pa.int32() if key_kind == "int" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(tables_of.value)
-        keys, parts, first, expected, held = [], [], 0, -1, 0
+        keys, parts, first, expected, held, key_arrow = [], [], 0, -1, 0, None
 
         def block() -> pa.RecordBatch:
             lengths = np.array([len(p) for p in parts], np.int64)
@@ -222,6 +233,7 @@ def write_token_ids(docs: DataFrame, vocabulary: str, path: str, end_id: int, ke
             return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([keys], pa.list_(key_arrow)), pa.array([blob], pa.binary())], ["first", "keys", "block"])
 
         for batch in batches:
+            key_arrow = batch.schema.field("key").type
             columns = [batch.column(c) for c in ("shard", "key", "place", "ids")]
             for shard, own_key, place, value in zip(*columns, strict=True):
                 start = bases[shard.as_py()] + place.as_py()
