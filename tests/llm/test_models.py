@@ -94,33 +94,70 @@ def test_decontamination(spark, docs):
     assert decontamination.contaminated(docs([]), bench).count() == 0
 
 
-@pytest.mark.parametrize("total", [10_000, 400_000, 12_000_000, 10**9])
-def test_verbatim_items_stay_candidates_as_the_corpus_grows(total):
-    r = random.Random(4)
-    items = [decontamination.words(" ".join(words(r, n))) for n in (4, 8, 15, 17, 30, 49, 60) for _ in range(5)]
-    bench = decontamination.Benchmark(np.unique(np.concatenate(items)), [], items, items, list(enumerate(items)))
-    bench.weigh(np.full(len(bench.vocabulary), 0.05 * total), total)  # common words
-    for item in items:
-        for at in range(80, 96):
-            text = np.concatenate([np.arange(at, dtype=np.uint64), item, np.arange(100, dtype=np.uint64)])
-            found = bench.at(text)
-            cosines = []
-            for span in (decontamination.BLOCK * w for w in decontamination.WINDOWS):
-                for k in range(0, len(text) - span, decontamination.BLOCK):
-                    some, x = bench.vector(found[k : k + span])
-                    y = bench.idf[some] * np.isin(bench.vocabulary[some], item)
-                    cosines.append(float(x @ y) / np.sqrt(bench.weights(found[k : k + span]).sum() * (bench.idf[bench.at(item)] ** 2).sum()))
-            assert max(cosines) >= decontamination.COSINE
-
-
-def test_long_items_are_found(spark, docs):
+def test_idf_does_not_change_as_the_corpus_grows():
+    share = np.array([0.0, 0.001, 0.05, 0.9])
+    first, *others = (decontamination.idf_of(share * n, n) for n in (10_000, 400_000, 10**9))
+    assert all(np.allclose(first, x) for x in others)
+
+
+def brute_contaminated(rows, items):
+    """Pairs by subsequences alone: every 16th place of every text with every item."""
+    found = set()
+    for k, text in rows:
+        own = decontamination.words(text or "")
+        for i, item in enumerate(items):
+            whole, answer = (decontamination.words(t).tolist() for t in (item, decontamination.answer_of(item)))
+            side = max(32, len(whole))
+            for at in range(0, len(own), 16):
+                around = own[max(0, at - side) : at + 32 + side].tolist()
+                if len(set(around) & set(whole)) * 4 < len(set(whole)):
+                    continue
+                if decontamination.common_subsequence(whole, around) >= 0.7 * len(whole) and decontamination.common_subsequence(answer, around) >= 0.5 * len(answer):
+                    found.add((k, i))
+                    break
+    return found
+
+
+@pytest.mark.parametrize("bounds", [(256, 8), (5, 2)])
+def test_items_of_any_length_verbatim_and_reworded(spark, docs, monkeypatch, bounds):
+    monkeypatch.setattr(decontamination, "GROUP_PARTS", bounds[0])  # the second bounds take several spaces and searches
+    monkeypatch.setattr(decontamination, "PASS_GROUPS", bounds[1])
     r = random.Random(9)
-    items = [" ".join(words(r, n)) + "." for n in (40, 182, 183, 400, 1500)]
-    rows = [(i, " ".join(words(r, r.randint(0, 90)) + items[i % 5].split() + words(r, 70))) for i in range(10)]
-    rows += [(10 + i, " ".join(words(r, 300))) for i in range(20)]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(x.doc_id, x.item_id): x.cover for x in decontamination.contaminated(docs(rows), bench).collect()}
-    assert set(got) == {(i, i % 5) for i in range(10)} and min(got.values()) > 0.99
+    common = words(r, 40)
+    prose = lambda n: [r.choice(common) if r.random() < 0.4 else w for w in words(r, n)]
+    items = [" ".join(prose(n)) + "." for n in (16, 30, 60, 182, 183, 400, 1000, 2000)]
+    other = {w: "syn" + w for t in items for w in t.rstrip(".").split()}
+    rows = []
+    for i in range(24):  # verbatim, then a fifth of the words in other words, then words left out
+        held = items[i % 8].rstrip(".").split()
+        held = held if i < 8 else [other[w] if r.random() < 0.2 else w for w in held] if i < 16 else [w for w in held if r.random() > 0.15]
+        rows.append((i, " ".join(prose(r.randint(0, 90)) + held + prose(70))))
+    rows += [(24 + i, " ".join(prose(300))) for i in range(40)] + [(90, None), (91, ""), (3, rows[3][1])]
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0])], "item_id long, text string")
+    got = [(x.doc_id, x.item_id) for x in decontamination.contaminated(docs(rows), bench).collect()]
+    want = brute_contaminated(rows, items)
+    assert len(want) >= 20 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.9 * len(want)
+
+
+def test_the_space_is_latent(spark, docs):
+    r = random.Random(12)
+    pairs = list(zip(words(r, 60), words(r, 60), strict=True))  # two words for one thing, which stand together in the corpus
+    texts = [" ".join(w for p in r.sample(pairs, 12) for w in p) for _ in range(400)]
+    items = [" ".join(p[0] for p in r.sample(pairs, 20)) for _ in range(120)]
+    groups = [[decontamination.words(t) for t in items]]
+    idf, sample = decontamination.corpus_of(docs(list(enumerate(texts))), "doc_id", "text")
+    axes = decontamination.latent_spaces(sample, groups, idf)[0]
+    assert axes.shape[1] == decontamination.RANK < len(items) and np.allclose(axes.T @ axes, np.eye(axes.shape[1]), atol=1e-3)
+    space = decontamination.Space.of(0, axes, idf, groups[0])
+    plain, latent = [], []
+    for t in items:  # the same item in nothing but the other words
+        own = decontamination.words(" ".join(dict(pairs)[w] for w in t.split()))
+        at, x = decontamination.unit(own, idf)
+        at2, y = decontamination.unit(decontamination.words(t), idf)
+        plain.append(float(np.bincount(at, x, decontamination.FEATURES) @ np.bincount(at2, y, decontamination.FEATURES)))
+        z = space.adds[decontamination.features_of(own)].sum(0)
+        latent.append(float(z @ space.parts[items.index(t)] / np.linalg.norm(z)))
+    assert np.mean(plain) < 0.05 and np.mean(latent) > 0.2
 
 
 def test_common_subsequence():
