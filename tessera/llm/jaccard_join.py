@@ -19,16 +19,21 @@ link when their sets' Jaccard similarity is at least `SIMILARITY`.
    lives on only if it shares as many entries as e is above its number of groups (count filter).
 4. A third pass makes the whole sets of what lives on. Each entry's members are verified against one of them, in some
    rounds with other pivots; what is linked to it needs no comparison with what else is. Of the pairs of members still
-   in different components, those that share enough entries (count filter) are then verified one by one. No pair
-   within a component is made, and none is left out.
+   in different components that meet in an entry of up to `MOST_OPEN` such members, those that share enough entries
+   (count filter) are then verified one by one. No pair within a component is made, and none is left out.
+5. Members of larger entries, as texts from one template have, are indexed anew by their whole sets: tokens are put in
+   the order of their exact frequency among these members, so that what the template gives comes last; the prefix of a
+   set is as long as a partner of each band of sizes asks for, and positional filters follow. This is exact as well.
 
 Defined results: without words or text a set is empty and linked with nothing; with fewer than five words the whole
 sequence is one shingle; rows with a null key keep a null component; rows that share a key count as one document;
-an empty table gives an empty result; other columns are not read.
+of rows with the same set the smallest key stands for all; an empty table gives an empty result; other columns are not
+read; texts are taken whole, however long.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +58,10 @@ EXTEND = 10
 NO_END = np.iinfo(np.int64).max
 #: Rounds of comparing an entry's members with one of them.
 ROUNDS = 2
+#: Entries of more members in different components don't make pairs; their members are indexed by exact frequencies.
+MOST_OPEN = 32
+#: Ratio of the sizes that share a band.
+BAND = 1.05
 
 
 def shingles(text: str) -> np.ndarray:
@@ -178,8 +187,9 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def index_of(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> DataFrame:
-    """Rows (entry, s1, s2, rare, need, n_rare, end): index entries of every class, and one row with `need`, the
-    number of rare entries and the end of the rare prefix for the class itself."""
+    """Rows (entry, s1, s2, rare, known, need, n_rare, end): index entries of every class, and one row with `need`, the
+    number of rare entries and the end of the rare prefix for the class itself. Where an entry has several rows in a
+    batch, it is known to be shared: 1 for the first, 2 for the others, which need not be brought together any more."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # MOST_FREQUENT numbers at most
     source = docs.where(F.col(key).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     none = np.iinfo(np.int32).min
@@ -204,10 +214,16 @@ def index_of(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> Data
                 second.append(sig[1])
             if found:
                 repeat, both = np.array(sizes), np.concatenate(needs)
-                own = [_signed(np.concatenate(found)), *(pa.array(np.repeat(np.array(x, np.int64), repeat)) for x in (first, second)), pa.array(np.concatenate(rare))]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(both[:, i], mask=both[:, i] == none) for i in (0, 1)), pa.array(np.concatenate(ends), mask=both[:, 0] == none)], ["entry", "s1", "s2", "rare", "need", "n_rare", "end"])
+                entry = np.concatenate(found)
+                order = np.argsort(entry, kind="stable")
+                same = (entry[order[1:]] == entry[order[:-1]]) & (both[order[1:], 0] == none) & (both[order[:-1], 0] == none)
+                known = np.zeros(len(entry), np.int8)
+                known[order[:-1][same]] = 1
+                known[order[1:][same]] = 2
+                own = [_signed(entry), *(pa.array(np.repeat(np.array(x, np.int64), repeat)) for x in (first, second)), pa.array(np.concatenate(rare)), pa.array(known)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(both[:, i], mask=both[:, i] == none) for i in (0, 1)), pa.array(np.concatenate(ends), mask=both[:, 0] == none)], ["entry", "s1", "s2", "rare", "known", "need", "n_rare", "end"])
 
-    return source.mapInArrow(run, "entry long, s1 long, s2 long, rare boolean, need int, n_rare int, end long")
+    return source.mapInArrow(run, "entry long, s1 long, s2 long, rare boolean, known byte, need int, n_rare int, end long")
 
 
 def filter_of(keys: DataFrame) -> Level | None:
@@ -282,10 +298,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     top = seen.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
-    whole = Window.partitionBy("entry")
+    whole = Window.partitionBy("entry", F.when(F.col("known") == 2, F.col("s1")).otherwise(0))
     own = F.struct("s1", "s2")
     met = index_of(docs, frequent, key, text).withColumn("least", F.min(own).over(whole)).withColumn("most", F.max(own).over(whole))
-    met = staged(met.where(F.col("need").isNotNull() | (F.col("least") != F.col("most"))).drop("least", "most"), "met-entries")
+    met = staged(met.where(F.col("need").isNotNull() | (F.col("known") > 0) | (F.col("least") != F.col("most"))).drop("least", "most", "known"), "met-entries")
 
     once = met.groupBy("s1", "s2", "entry").agg(F.max("rare").alias("rare"), F.max("need").alias("need"), F.max("n_rare").alias("n_rare"), F.max("end").alias("end"))
     by_class = once.groupBy("s1", "s2").agg(F.count_if(F.col("need").isNull()).alias("shared"), F.max("need").alias("need"), (F.max("n_rare") - F.count_if("rare")).alias("unmet"), F.max("end").alias("end"))
@@ -295,22 +311,61 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     members = staged(met.where(F.col("need").isNull()).select("entry", "s1", "s2").join(living.select("s1", "s2", "node", "n", "unmet", "end", own_need), ["s1", "s2"]).select("entry", "node", "n", "unmet", "end", "need").distinct(), "entry-members")
     tokens = whole_sets(docs, living.select("node"), key, text)
 
-    by_entry = Window.partitionBy("entry")
     placed, found = members.withColumn("root", F.col("node")), None
     for turn in range(ROUNDS):
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("mark") if turn else F.lit(0).alias("mark"), "node", "n", "unmet", "end", "root")).over(by_entry)
-        near = placed.withColumn("pivot", pivot).where((F.col("root") != F.col("pivot.root")) & possible("{}", "pivot.{}"))
+        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("mark") if turn else F.lit(0).alias("mark"), "node", "n", "unmet", "end", "root")).alias("pivot")
+        near = placed.join(placed.groupBy("entry").agg(pivot), "entry").where((F.col("root") != F.col("pivot.root")) & possible("{}", "pivot.{}"))
         pairs = near.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         made = staged(verified(pairs, tokens), "links-to-pivot")
         found = made if found is None else found.unionByName(made)
         roots = components(found)
         placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = placed.withColumn("low", F.min("root").over(by_entry)).withColumn("high", F.max("root").over(by_entry)).where("low != high")
-        placed = staged(apart.select("entry", "node", "n", "unmet", "end", "need", "root"), "open-entries")
-    left, right = (placed.select("entry", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "unmet", "end", "need", "root")]) for k in (1, 2))
+        apart = placed.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("open")).where("low != high").select("entry", "open")
+        placed = staged(placed.join(apart, "entry").select("entry", "open", "node", "n", "unmet", "end", "need", "root"), "open-entries")
+    large = placed.groupBy("node").agg(F.count_if(F.col("open") > MOST_OPEN).alias("large"), F.first("n").alias("n"), F.first("root").alias("root"))
+    small = placed.where(F.col("open") <= MOST_OPEN).join(large.select("node", "large"), "node")
+    left, right = (small.select("entry", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "unmet", "end", "need", "root", "large")]) for k in (1, 2))
     rest = left.join(right, "entry").where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & possible("{}1", "{}2"))
-    rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need1", "need2")).alias("need")).where("shared >= need")
-    return sets, found.unionByName(staged(verified(rest.select("a", "b"), tokens), "links-across"))
+    shared = F.count("*") + F.first(F.least("large1", "large2"))  # entries that both may share
+    rest = rest.groupBy(F.col("node1").alias("a"), F.col("node2").alias("b")).agg(shared.alias("shared"), F.first(F.least("need1", "need2")).alias("need")).where("shared >= need").select("a", "b")
+    rest = rest.unionByName(exact_candidates(large.where("large > 0").select("node", "n", "root"), tokens)).distinct()
+    return sets, found.unionByName(staged(verified(rest, tokens), "links-across"))
+
+
+def band(n: Column) -> Column:
+    """The band of sizes that n is in."""
+    return F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+
+
+def exact_candidates(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, n, root) in different components that could link, by prefixes of whole sets in the
+    order of exact token frequencies. A set meets a partner of each band of sizes by the prefix that the least partner
+    of the band asks for, so that sets of one size meet by a ninth of their tokens."""
+
+    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, len(batch), 64):
+                some = batch.slice(row, 64)
+                values = [np.frombuffer(x.as_buffer(), np.int64) for x in some.column(1)]
+                sizes = [len(v) for v in values]
+                at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), pa.array(np.repeat(np.array(sizes, np.int32), sizes)), some.column(2).take(at), pa.array(np.concatenate(values))], ["node", "n", "root", "token"])
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    own = nodes.join(tokens, "node").select("node", "tokens", "root").mapInArrow(singles, f"node {kind}, n int, root {kind}, token long")
+    own = staged(own, "open-tokens")
+    placed = own.join(own.groupBy("token").agg(F.count("*").alias("df")), "token")
+    placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")) - 1)
+    n, at, size, other = F.col("n"), F.col("at"), band(F.col("n")), F.col("band")
+    least = F.greatest(F.floor(F.pow(F.lit(BAND), other) - 1e-6), F.ceil(F.lit(PERCENT) * n / 100)).cast("long")
+    overlap = F.ceil(F.lit(PERCENT) * (n + least) / (100 + PERCENT))
+    reach = math.ceil(math.log(100 / PERCENT) / math.log(BAND)) + 1
+    keyed = placed.where((F.col("df") > 1) & (at <= n - F.ceil(F.lit(PERCENT) * n / 100))).withColumn("band", F.explode(F.sequence(size - reach, size + reach)))
+    keyed = staged(keyed.where(at <= n - overlap).select("token", F.least(size, other).alias("low"), F.greatest(size, other).alias("high"), "node", "n", "root", "at"), "open-prefixes")
+    left, right = (keyed.select("token", "low", "high", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "root", "at")]) for k in (1, 2))
+    most = F.least("at1", "at2") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    both = left.join(right, ["token", "low", "high"]).where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n1") + F.col("n2"))))
+    return both.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
 
 
 def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
