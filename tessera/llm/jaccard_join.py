@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import staged
 from tessera.llm.components import components
 from tessera.llm.hashing import GRAM, code_points, mixed, word_hashes
-from tessera.llm.url_filters import FIRST_BITS, MOST_FILTER_BITS, Level
+from tessera.llm.url_filters import FIRST_BITS, Level, filled, gathered
 
 #: Words per shingle; links from 80 % of the union on.
 WORDS, PERCENT = 5, 80
@@ -60,6 +60,8 @@ NO_END = np.iinfo(np.int64).max
 ROUNDS = 2
 #: Entries of more members in different components don't make pairs; their members are indexed by exact frequencies.
 MOST_OPEN = 32
+#: A filter of documents larger than this isn't sent to the executors; a join takes its place.
+MOST_FILTER_BITS = 1 << 28
 #: Ratio of the sizes that share a band.
 BAND = 1.05
 
@@ -232,17 +234,9 @@ def filter_of(keys: DataFrame) -> Level | None:
     if bits > MOST_FILTER_BITS:
         return None
     level = Level(bits, 7, np.zeros(0, np.uint8))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h1, h2 = (np.asarray(batch.column(i)) for i in range(2))
-            at = np.concatenate([level.positions(h1, h2, i) for i in range(level.hashes)])
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
-
-    whole = np.zeros(bits // 64, np.int64)
-    for row in keys.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        whole[row["word"]] = row["bits"]
-    return Level(bits, 7, whole.astype("<i8").view(np.uint8))
+    own = lambda batch: [(0, np.asarray(batch.column(0)), np.asarray(batch.column(1)))]
+    gathered(keys.mapInArrow(lambda batches: filled(batches, {0: level}, own), "slot long, word long, bits long"), found := {0: Level(bits, 7, np.zeros(0, np.uint8))})
+    return found[0]
 
 
 def whole_sets(docs: DataFrame, living: DataFrame, key: str, text: str) -> DataFrame:
@@ -298,10 +292,10 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     top = seen.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
     frequent = np.sort(np.array([r["token"] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
-    whole = Window.partitionBy("entry", F.when(F.col("known") == 2, F.col("s1")).otherwise(0))
-    own = F.struct("s1", "s2")
-    met = index_of(docs, frequent, key, text).withColumn("least", F.min(own).over(whole)).withColumn("most", F.max(own).over(whole))
-    met = staged(met.where(F.col("need").isNotNull() | (F.col("known") > 0) | (F.col("least") != F.col("most"))).drop("least", "most", "known"), "met-entries")
+    salt = F.when(F.col("known") == 2, F.pmod("s1", F.lit(1000)) + 1).otherwise(0).cast("short")
+    whole, own = Window.partitionBy("entry", "salt"), F.struct("s1", "s2")
+    met = index_of(docs, frequent, key, text).withColumn("salt", salt).select("*", F.min(own).over(whole).alias("least"), F.max(own).over(whole).alias("most"))
+    met = staged(met.where(F.col("need").isNotNull() | (F.col("known") > 0) | (F.col("least") != F.col("most"))).drop("least", "most", "known", "salt"), "met-entries")
 
     once = met.groupBy("s1", "s2", "entry").agg(F.max("rare").alias("rare"), F.max("need").alias("need"), F.max("n_rare").alias("n_rare"), F.max("end").alias("end"))
     by_class = once.groupBy("s1", "s2").agg(F.count_if(F.col("need").isNull()).alias("shared"), F.max("need").alias("need"), (F.max("n_rare") - F.count_if("rare")).alias("unmet"), F.max("end").alias("end"))
@@ -361,11 +355,13 @@ def exact_candidates(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
     overlap = F.ceil(F.lit(PERCENT) * (n + least) / (100 + PERCENT))
     reach = math.ceil(math.log(100 / PERCENT) / math.log(BAND)) + 1
     keyed = placed.where((F.col("df") > 1) & (at <= n - F.ceil(F.lit(PERCENT) * n / 100))).withColumn("band", F.explode(F.sequence(size - reach, size + reach)))
-    keyed = staged(keyed.where(at <= n - overlap).select("token", F.least(size, other).alias("low"), F.greatest(size, other).alias("high"), "node", "n", "root", "at"), "open-prefixes")
-    left, right = (keyed.select("token", "low", "high", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "root", "at")]) for k in (1, 2))
+    low, high = F.least(size, other), F.greatest(size, other)
+    keyed = staged(keyed.where(at <= n - overlap).select("token", low.alias("low"), high.alias("high"), size.alias("own"), "node", "n", "root", "at"), "open-prefixes")
+    left, right = (keyed.where(F.col("own") == F.col(side)).select("token", "low", "high", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "root", "at")]) for k, side in ((1, "low"), (2, "high")))
     most = F.least("at1", "at2") + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    both = left.join(right, ["token", "low", "high"]).where((F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n1") + F.col("n2"))))
-    return both.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    once = (F.col("low") < F.col("high")) | (F.col("node1") < F.col("node2"))
+    both = left.join(right, ["token", "low", "high"]).where(once & (F.col("root1") != F.col("root2")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n1") + F.col("n2"))))
+    return both.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
 def clustered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

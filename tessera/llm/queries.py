@@ -15,18 +15,20 @@ from tessera.llm.token_output import token_output
 from tessera.llm.url_filters import judged
 
 
-#: The rules of the op1 contract, and one further listed host.
+#: The rules of the op1 contract, and further listed hosts (fixed values).
 BLOCK_RULES = ["com/en/", "example.net/de/8", "org/es/"]
 ALLOW_RULES = ["example.com/en/7", "net/de/"]
-LISTED_BLOCK = ["spam-farm.example.org/"]
+LISTED_NAMES = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_BLOCK = [f"{name}.example.{end}/" for name in LISTED_NAMES for end in ("com", "net", "org")]
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), BLOCK_RULES, ALLOW_RULES, LISTED_BLOCK)
 
 
-OP1_SQL = """
-WITH split AS (
+OP1_SQL = f"""
+WITH listed(h) AS (SELECT n || '.example.' || e FROM (VALUES {", ".join(f"('{n}')" for n in LISTED_NAMES)}) AS a(n), (VALUES ('com'), ('net'), ('org')) AS b(e)),
+split AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -38,7 +40,7 @@ best AS (
   SELECT page_id, arg_max(r, length(r)) AS rule, arg_max(v, length(r)) AS verdict
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT parts.page_id, host, path, rule, coalesce(verdict,
-  CASE WHEN (host = 'spam-farm.example.org' OR ends_with(host, '.spam-farm.example.org')) AND starts_with(path, '/') THEN 'block' ELSE 'allow' END) AS verdict
+  CASE WHEN EXISTS (SELECT 1 FROM listed WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/')) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN best USING (page_id)
 """
 

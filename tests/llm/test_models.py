@@ -230,6 +230,35 @@ def test_jaccard_join_links_a_text_with_its_part(docs):
     assert got == {k: k - k % 2 for k, _ in rows}
 
 
+def templated(r, n, own, size=200):
+    """Texts that share all but `own` of their words with a template."""
+    template = [f"t{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        w = list(template)
+        k = own(r)
+        at = r.randint(0, size - k)
+        w[at : at + k] = [f"o{i}x{j}" for j in range(k)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_jaccard_join_of_a_template(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MOST_OPEN", 4)
+    r = random.Random(10)
+    rows = templated(r, 120, lambda r: r.randint(8, 30)) + [(200 + i, " ".join(f"u{i}y{j}" for j in range(40))) for i in range(400)]
+    got = {x.doc_id: x.component_id for x in jaccard_join.clustered(docs(rows)).collect()}
+    assert got == {k: root for k, (_, root) in brute_components(rows).items()}
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_a_template_makes_few_pairs(spark, n):
+    rows = [(i, jaccard_join.shingles(t).tobytes()) for i, t in templated(random.Random(11), n, lambda r: r.randint(30, 40))]
+    tokens = spark.createDataFrame(rows, "node long, tokens binary")
+    nodes = spark.createDataFrame([(i, len(t) // 8, i) for i, t in rows], "node long, n int, root long")
+    assert jaccard_join.exact_candidates(nodes, tokens).count() <= n
+
+
 def test_prefix_entries_meet_for_every_link():
     r = np.random.default_rng(3)
     universe = np.sort(r.integers(0, 1 << 63, 6000, dtype=np.uint64))

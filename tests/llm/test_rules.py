@@ -7,6 +7,7 @@ import textwrap
 from collections import Counter
 
 import pytest
+from conftest import DATA
 
 from llm.llm_edges import EDGES
 from tessera.llm import license_scan, quality_rules, url_filters
@@ -29,25 +30,34 @@ def brute_url(url):
     return host, path, rule, verdict
 
 
-@pytest.mark.parametrize("bound", [url_filters.MOST_FILTER_BITS, 0])
+@pytest.mark.parametrize("bound", [(url_filters.PART_KEYS, url_filters.PASS_PARTS), (4, 3)])
 def test_urls(spark, monkeypatch, bound):
-    monkeypatch.setattr(url_filters, "MOST_FILTER_BITS", bound)
+    monkeypatch.setattr(url_filters, "PART_KEYS", bound[0])  # the second bounds take four parts in two passes
+    monkeypatch.setattr(url_filters, "PASS_PARTS", bound[1])
     r = random.Random(2)
     urls = [None, "", "x", "://", "a://COM/en/", "http://notcom/en/", "http://com?/en/", "http://x.Example.com/en/7/8", "ftp://a\nb.com/en/#x", "http://.com/en/", "a://b://com/en/", "http://" + "a." * 5000 + "com/en/"]
-    urls += [f"http{r.choice(['', 's'])}://{r.choice(['', 'a.', 'b.c.', 'spam-farm.', 'm.spam-farm.'])}{r.choice(['example.com', 'example.net', 'example.org', 'Com', 'net'])}/{r.choice(['en', 'de', 'es'])}/{r.randint(0, 900)}{r.choice(['', '?x', '#y'])}" for _ in range(400)]
+    urls += [f"http{r.choice(['', 's'])}://{r.choice(['', 'a.', 'b.c.', 'spam-farm.', 'm.spam-farm.', 'free-bets.'])}{r.choice(['example.com', 'example.net', 'example.org', 'Com', 'net'])}/{r.choice(['en', 'de', 'es'])}/{r.randint(0, 900)}{r.choice(['', '?x', '#y'])}" for _ in range(400)]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
     got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filters.judged(df, BLOCK_RULES, ALLOW_RULES, LISTED_BLOCK).collect()}
     assert got == {i: brute_url(u) for i, u in enumerate(urls)}
+    table = spark.createDataFrame([(r,) for r in LISTED_BLOCK] + [(None,)], "rule string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filters.judged(df.unionByName(df), BLOCK_RULES, ALLOW_RULES, table).collect()}
+    assert got == {i: brute_url(u) for i, u in enumerate(urls)}
     assert url_filters.judged(df.limit(0), BLOCK_RULES, ALLOW_RULES).count() == 0
     assert {x.verdict for x in url_filters.judged(df, [], []).collect()} == {"allow"}
 
 
-def test_cascade_is_exact_over_its_universe(spark):
-    keys = spark.range(20_000).selectExpr("xxhash64(id) AS h1", "xxhash64(id, 9) AS h2", "id % 7 = 0 AS listed").cache()
-    cascade = url_filters.build_cascade(keys)
+@pytest.mark.parametrize("parts", [1, 5])
+def test_cascade_is_exact_over_its_universe(spark, parts):
+    keys = spark.range(20_000).selectExpr("xxhash64(id) AS h1", "xxhash64(id, 9) AS h2", "id % 7 = 0 AS x", "id % 3 = 0 AS y").cache()
     pdf = keys.toPandas()
-    assert len(cascade.levels) > 2
-    assert (cascade.listed(pdf.h1.to_numpy(), pdf.h2.to_numpy()) == pdf.listed.to_numpy()).all()
+    h1, h2, part = pdf.h1.to_numpy(), pdf.h2.to_numpy(), url_filters.part_of(pdf.h2.to_numpy(), parts)
+    for chosen in (range(0, 1), range(1, parts)):
+        cascades = url_filters.build_cascades(keys, ["x", "y"], parts, chosen)
+        for i, name in enumerate(["x", "y"]):
+            for p in chosen:
+                own, here = cascades[i * parts + p], part == p
+                assert len(own.levels) > 2 and (own.listed(h1[here], h2[here]) == pdf[name].to_numpy()[here]).all()
 
 
 def brute_rules(text):
@@ -80,15 +90,50 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(exact, rel=1e-9)
 
 
+def brute_kept(rows, grades):
+    """kept by doc_id, from (doc_id, text, lang) rows and the best grade of each labelled document."""
+    measured, held = {}, {}
+    for k, text, lang in rows:
+        n, chars, symbols, dup, repeat = brute_rules(text)
+        lines = len([x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")])
+        shares = [symbols / chars if chars else None, dup / lines if lines else None, repeat / n if n else None, chars / n if n else None]
+        steps = [next((4 * j + rule for j, cut in enumerate(cuts) if share is not None and share > cut), 99) for rule, (share, cuts) in enumerate(zip(shares, quality_rules.CUTOFFS.values(), strict=True))]
+        measured[k] = (lang or "", n < 50 or 100 * repeat > 50 * n, min(steps))
+        if k in grades and not measured[k][1]:
+            held.setdefault(lang or "", []).append((grades[k], min(steps)))
+    cut, tested = {}, sum(0.98 ** sum(g for g, _ in own) <= 0.05 for own in held.values())
+    for lang, own in held.items():
+        n, gains = sum(g for g, _ in own), []
+        for step in range(40):
+            good, bad = sum(g and s <= step for g, s in own), sum(not g and s <= step for g, s in own)
+            tail = sum(math.comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(good + 1))
+            if good >= 0.02 * n or tail > 0.05 / max(1, tested):
+                break
+            gains.append((bad - 10 * good, -step))
+        if gains and max(gains)[0] > 0:
+            cut[lang] = -max(gains)[1]
+    return {k: not failed and step > cut.get(lang, -1) for k, (lang, failed, step) in measured.items()}, cut
+
+
+def test_kept_is_brute_force_on_given_documents(spark):
+    path = DATA.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    want, cut = brute_kept([(x.doc_id, x.text, x.lang) for x in docs.collect()], {x.doc_id: x.quality > 0 for x in labels.collect()})
+    assert cut  # at least one stratum has labels enough
+    assert {x.doc_id: x.kept for x in quality_rules.judged(docs, labels).collect()} == want
+
+
 def test_cutoffs_reject_junk_only(spark, docs):
     r = random.Random(1)
     words = [f"w{i}" for i in range(3000)]
-    good = [" ".join(r.sample(words, 60)) for _ in range(1600)]
-    bad = [" ".join(w + "###" for w in r.sample(words, 60)) for _ in range(300)]
-    rows = [(i, t, "en") for i, t in enumerate(good + bad)]
-    labels = spark.createDataFrame([(i, int(i < 1600), 0, "x") for i in range(1900)] + [(None, 1, 0, "x"), (5, None, None, "x")], "doc_id long, quality int, toxic int, lang string")
-    kept = {x.doc_id: x.kept for x in quality_rules.judged(docs(rows), labels).collect()}
-    assert all(kept[i] for i in range(1600)) and not any(kept[i] for i in range(1600, 1900))
+    good = [" ".join(r.sample(words, 60)) for _ in range(500)]
+    bad = [" ".join(w + "###" for w in r.sample(words, 60)) for _ in range(100)]
+    rows = [(i, t, "en" if i % 2 else None) for i, t in enumerate(good + bad)]  # a null stratum, labels that contradict and null ones
+    labels = [(i, int(i < 500), 0, "x") for i in range(600)] + [(None, 1, 0, "x"), (5, None, None, "x"), (7, 0, 0, "x"), (5, 1, 0, "x")]
+    kept = {x.doc_id: x.kept for x in quality_rules.judged(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, lang string")).collect()}
+    assert all(kept[i] for i in range(500)) and not any(kept[i] for i in range(500, 600))
+    few = spark.createDataFrame(labels[:290:2], "doc_id long, quality int, toxic int, lang string")  # too few labels: no cutoff
+    assert all(x.kept for x in quality_rules.judged(docs(rows), few).collect())
 
 
 def test_licenses(docs):
