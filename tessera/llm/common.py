@@ -18,17 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
-
-    Unset means a local session, as in tests; there one machine's folder is shared by definition.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset, as
+    there one machine's folder is shared by definition."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def packed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`row`, a struct of all columns, and `text`: for operators that pass rows on, whatever their columns' names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+
+
 def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
@@ -39,8 +44,3 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path)
-
-
-def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that clashing extra columns cannot disturb an operator."""
-    return df.select(*[F.col(c) for c in columns])

@@ -3,11 +3,14 @@
 Training is follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties, which leaves most weights zero,
 then one temperature is fitted on documents that training did not see. Document frequencies cover all training
 documents; the regression is fitted on a bounded sample of them: up to `SAMPLE_PER_LANGUAGE` documents of each
-language, those with the smallest key hashes. Prediction reads whole texts, and nothing but the text.
+language, fewer where there are so many languages that it would exceed `SAMPLE_DOCUMENTS` in all (one of each at
+least), those with the smallest hashes of key and text. Every language is learned; the model's size grows with their
+number alone. Prediction reads whole texts, and nothing but the text.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or where nothing could be learned;
-documents with a null language are predicted but not learned from; ties go to the language first by name; repeated
-rows are predicted alike; an empty table gives an empty result; other columns are not read.
+documents with a null language are predicted but not learned from; a null key counts as the empty one for the fold;
+ties go to the language first by name; repeated rows are predicted alike; texts are taken whole, however long; an empty
+table gives an empty result; other columns are not read, and their names don't matter.
 """
 
 from __future__ import annotations
@@ -19,16 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import staged
 from tessera.llm.hashing import code_points, gram_buckets, sparse_counts
 
 BITS, SIZES = 15, (1, 2, 3)
 FEATURES = 1 << BITS
-#: Bounds of what training gathers on the driver: documents per language, and languages (the most frequent ones).
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 600, 200
+#: Bounds of what training gathers on the driver: documents per language, and of all languages together.
+SAMPLE_PER_LANGUAGE, SAMPLE_DOCUMENTS = 600, 120_000
 #: FTRL-proximal: step size and its offset, L1 and L2 penalties, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.1, 3
 LETTER = re.compile(r"[^\W\d_]")
@@ -121,16 +125,15 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Train on the documents outside the held-out fold whose language is known."""
     own = docs.where(~held_out(F.coalesce(F.col(key).cast("string"), F.lit(""))) & F.col(lang).isNotNull())
-    by_lang = own.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    sizes = {r["lang"]: r["n"] for r in by_lang.collect()}
+    by_key = F.xxhash64(F.col(key).cast("string"))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in own.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.min(by_key).alias("least")).collect()}  # one row per language
     if not sizes:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     languages = sorted(sizes)
-    mark = F.xxhash64(F.col(key).cast("string"))
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, 1.2 * SAMPLE_PER_LANGUAGE / n))).otherwise(share)
-    picked = F.pmod(mark, F.lit(1 << 20)) < share * (1 << 20)
+    wanted = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_DOCUMENTS // len(languages)))
+    mark = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    bounds = F.create_map(*[x for name, (n, least) in sizes.items() for x in (F.lit(name), F.struct(F.lit(min(1.0, (1.2 * wanted + 10) / n)).alias("share"), F.lit(least).alias("least")))])[F.col(lang)]
+    picked = (F.pmod(by_key, F.lit(1 << 20)) < bounds["share"] * (1 << 20)) | (by_key == bounds["least"])  # one key of each language at least
     source = own.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang"), mark.alias("mark"), picked.alias("picked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +160,12 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         df[row["at"]] = row["n"]
     idf = np.log((1.0 + df[FEATURES]) / (1.0 + df[:FEATURES])) + 1.0
 
-    rows, taken = [], dict.fromkeys(languages, 0)
-    for row in seen.where(F.col("lang").isNotNull()).orderBy("mark", "lang").toLocalIterator():
-        if taken[row["lang"]] < SAMPLE_PER_LANGUAGE:
-            taken[row["lang"]] += 1
-            at = np.array(row["at"], np.int64)
-            rows.append((at, vector(np.array(row["counts"]), idf[at]), languages.index(row["lang"])))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    first = seen.where(F.col("lang").isNotNull()).withColumn("place", place).where(F.col("place") <= wanted).orderBy("mark", "lang")
+    rows = []
+    for row in first.toLocalIterator():
+        at = np.array(row["at"], np.int64)
+        rows.append((at, vector(np.array(row["counts"]), idf[at]), languages.index(row["lang"])))
     calibration, training = rows[::5], [r for i, r in enumerate(rows) if i % 5]
     weights, offsets = fit_ftrl(training or rows, len(languages))
     logits = np.array([x @ weights[at] + offsets for at, x, _ in calibration])
@@ -170,20 +173,18 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Model(languages, idf, weights, offsets, temperature)
 
 
-def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
-    """`key`, `more`, lang_pred, score for every row, from the text alone."""
-    source = docs.select(F.col(key), *[F.col(c) for c in more], F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets, a bounded number of languages
+def predicted(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key` (a column of any type, also a struct of columns), lang_pred, score for every row, from the text alone."""
+    source = docs.select(F.col(key), F.col(text).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
         for batch in batches:
-            found = [predict(t.as_py()) for t in batch.column("_text")]
-            kept = [batch.column(c) for c in (key, *more)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [key, *more, "lang_pred", "score"])
+            found = [predict(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [key, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "_text")
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return source.mapInArrow(run, T.StructType([source.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

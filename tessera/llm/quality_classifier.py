@@ -5,13 +5,13 @@ thresholds. Features are hashed character 1- to 3-grams and hashed lower-cased w
 the share of words that repeat the word before them. The model gives a document's expected grade and the chance of
 the top grade, by which documents are selected.
 
-The fit uses a bounded sample: up to `SAMPLE_PER_GRADE` rated documents of each grade, those with the smallest key
-hashes. Every document is scored on its whole text.
+The fit uses a bounded sample: up to `SAMPLE_PER_GRADE` rated documents of each grade, those with the smallest hashes
+of key and text. Every document is scored on its whole text.
 
 Defined results: a null or empty text has no features and its score is 0, and it isn't selected; null ratings are not
 used, of several ratings of a document the lowest counts; without two grades to learn from nothing is rejected but
-documents without words; repeated rows are scored alike; an empty table gives an empty result; other columns are not
-read.
+documents without words; a chance equal to the least one is enough; repeated rows are scored alike; texts are taken
+whole, however long; an empty table gives an empty result; other columns are not read, and their names don't matter.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.hashing import code_points, gram_buckets, sparse_counts, word_buckets
 
@@ -115,7 +116,7 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int = 3, key: str = "doc_
         share = F.when(F.col("grade") == grade, min(1.0, 1.2 * SAMPLE_PER_GRADE / n)).otherwise(share)
     sample = known.where(F.pmod(mark, F.lit(1 << 20)) < share * (1 << 20)).groupBy(key).agg(F.min("grade").alias("grade"))
     # At most about 1.2 * SAMPLE_PER_GRADE * grades keys: the size of the broadcast side is bounded.
-    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), key).select(mark.alias("mark"), "grade", "_text")
+    source = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), key).select(F.xxhash64(F.col(key).cast("string"), "_text").alias("mark"), "grade", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,35 +124,30 @@ def learn(docs: DataFrame, ratings: DataFrame, grades: int = 3, key: str = "doc_
                 at, x = features(t.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([own_mark.as_py()], pa.int64()), pa.array([grade.as_py()], pa.int32()), pa.array([at.astype("<i4").tobytes()]), pa.array([x.astype("<f4").tobytes()])], ["mark", "grade", "at", "x"])
 
-    found = source.mapInArrow(run, "mark long, grade int, at binary, x binary").toLocalIterator()
-    rows = sorted(((r["mark"], r["grade"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4")) for r in found), key=lambda r: (r[0], r[1]))
-    taken, picked = dict.fromkeys(sizes, 0), []
-    for _, grade, at, x in rows:
-        if taken[grade] < SAMPLE_PER_GRADE:
-            taken[grade] += 1
-            picked.append((at, x, grade))
+    place = F.row_number().over(Window.partitionBy("grade").orderBy("mark"))
+    first = source.mapInArrow(run, "mark long, grade int, at binary, x binary").withColumn("place", place).where(F.col("place") <= SAMPLE_PER_GRADE).orderBy("mark", "grade")
+    picked = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4"), r["grade"]) for r in first.toLocalIterator()]
     return fit(picked, grades)
 
 
-def scored(docs: DataFrame, model: Model, *columns: str, text: str = "text", select: float = SELECT) -> DataFrame:
-    """`columns`, expected_grade, top_tail, selected for every row; `columns` may include the text."""
-    source = docs.select(*[F.col(c) for c in columns], F.col(text).alias("_text"))
+def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", select: float = SELECT) -> DataFrame:
+    """`key` (a column of any type, also a struct of columns), expected_grade, top_tail, selected for every row."""
+    source = docs.select(F.col(key), F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tails = shared.value.tails
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("_text")]
+            texts = [t.as_py() for t in batch.column(1)]
             found = [tails(t) for t in texts]
             expected, top = pa.array([float(f.sum()) for f in found], pa.float64()), pa.array([float(f[-1]) for f in found], pa.float64())
             chosen = pa.array([bool(t and not t.isspace() and f[-1] >= select) for t, f in zip(texts, found, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), expected, top, chosen], [*columns, "expected_grade", "top_tail", "selected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), expected, top, chosen], [key, "expected_grade", "top_tail", "selected"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields if f.name != "_text")
-    return source.mapInArrow(run, kinds + "expected_grade double, top_tail double, selected boolean")
+    more = [T.StructField("expected_grade", T.DoubleType()), T.StructField("top_tail", T.DoubleType()), T.StructField("selected", T.BooleanType())]
+    return source.mapInArrow(run, T.StructType([source.schema[0], *more]))
 
 
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the rated documents, then score all: `key`, expected_grade, top_tail, selected."""
-    return scored(docs, learn(docs, graded(labels, key), 3, key, text), key, text=text)
-
+    return scored(docs, learn(docs, graded(labels, key), 3, key, text), key, text)

@@ -1,6 +1,7 @@
 """Operators 2, 4, 5, 6 and the pipeline: held-out accuracy, recall, brute force."""
 
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -32,6 +33,41 @@ def test_language(docs):
     assert {x.lang_pred for x in language_id.identified(docs([(1, "words"), (2, None)])).collect()} == {"und"}
 
 
+def test_every_language_is_learned(docs):
+    rows = [(i, f"zq{i % 250:03d}x zq{i % 250:03d}y zq{i % 250:03d}x", f"l{i % 250:03d}") for i in range(3000)]
+    got = language_id.identified(docs(rows)).collect()
+    assert np.mean([x.lang_pred == rows[x.doc_id][2] for x in got if x.held_out]) > 0.9
+    a, *others = [k for k in range(1, 40) if zlib.crc32(str(k).encode()) % 5][:11]
+    hot = [(a, "der die und", "de")] * 3000 + [(k, "the of and", "en") for k in others] + [(None, "the of and", "en")]
+    assert {x.lang_pred for x in language_id.identified(docs(hot)).collect()} == {"de", "en"}  # a repeated row does not fill the sample of others
+
+
+def test_ftrl_is_its_definition():
+    r = np.random.default_rng(2)
+    rows = [(np.sort(r.choice(12, 4, replace=False)), r.random(4), int(r.integers(3))) for _ in range(40)]
+    z, n = np.zeros((13, 3)), np.zeros((13, 3))
+    alpha, beta, l1, l2 = language_id.ALPHA, language_id.BETA, language_id.L1, language_id.L2
+    weight = lambda i, c: 0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - np.sign(z[i, c]) * l1) / ((beta + n[i, c] ** 0.5) / alpha + l2)
+    for _ in range(language_id.PASSES):
+        for at, x, label in rows:
+            items = [*zip(at, x, strict=True), (12, 1.0)]  # the last is the offset
+            w = {(i, c): weight(i, c) for i, _ in items for c in range(3)}
+            scores = np.array([sum(v * w[i, c] for i, v in items) for c in range(3)])
+            p = np.exp(scores) / np.exp(scores).sum()
+            for i, v in items:
+                for c in range(3):
+                    g = v * (p[c] - (c == label))
+                    z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / alpha * w[i, c]
+                    n[i, c] += g * g
+    weights, offsets = language_id.fit_ftrl(rows, 3)
+    assert np.allclose(weights[:12], [[weight(i, c) for c in range(3)] for i in range(12)]) and np.allclose(offsets, [weight(12, c) for c in range(3)])
+
+
+def test_ties_go_to_the_first_language():
+    model = language_id.Model(["a", "b"], np.ones(language_id.FEATURES), np.zeros((language_id.FEATURES, 2)), np.zeros(2), 1.0)
+    assert model.predict("word") == ("a", 0.5)
+
+
 def test_temperature_is_finite():
     logits = np.eye(3)[np.arange(60) % 3] * 5
     assert 0.05 < language_id.fit_temperature(logits, np.arange(60) % 3) < 20
@@ -67,6 +103,32 @@ def test_thresholds_are_ordered():
     assert (np.diff(model.thresholds) >= 0).all()
 
 
+def test_cumulative_link_fit_descends_its_loss():
+    """The fit against one of the same steps with gradients by differences."""
+    r = np.random.default_rng(5)
+    rows = [(np.sort(r.choice(6, 3, replace=False)), r.random(3), int(r.integers(3))) for _ in range(25)]
+
+    def loss(w, cuts, at, x, grade):
+        below = np.append(1 / (1 + np.exp(-(cuts - x @ w[at]))), 1.0)
+        return -np.log(below[grade] - (below[grade - 1] if grade else 0.0))
+
+    w, seen, cuts, seen_cuts = np.zeros(6), np.full(6, 1e-2), np.array([-1.0, 1.0]), np.ones(2)
+    order, h = np.random.default_rng(7), 1e-6
+    for _ in range(quality_classifier.PASSES):
+        for i in order.permutation(len(rows)):
+            at, x, grade = rows[i]
+            slope = lambda f: (f(h) - f(-h)) / (2 * h)
+            g = np.array([slope(lambda d, j=j: loss(w + d * np.eye(6)[j], cuts, at, x, grade)) for j in at]) + quality_classifier.L2 * w[at]
+            g_cuts = np.array([slope(lambda d, j=j: loss(w, cuts + d * np.eye(2)[j], at, x, grade)) for j in range(2)])
+            seen[at] += g * g
+            w[at] -= quality_classifier.STEP * g / np.sqrt(seen[at])
+            seen_cuts += g_cuts * g_cuts
+            cuts = np.maximum.accumulate(cuts - 0.3 * g_cuts / np.sqrt(seen_cuts) + 1e-6 * np.arange(2))
+    model = quality_classifier.fit(rows, 3)
+    assert np.allclose(model.weights[:6], w, atol=1e-4) and np.allclose(model.thresholds, cuts, atol=1e-4)
+    assert np.allclose(model.tails(None), 1 / (1 + np.exp(cuts)), atol=1e-4)
+
+
 def words(r, n):
     return ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
 
@@ -321,3 +383,20 @@ def test_pipeline(spark, staged):
     assert kept.count() >= 0.97 * first.count()
     assert staged[4][1].count() == staged[3][1].count() and "ids_sha256" in staged[4][1].columns
     assert staged[1][1].where(F.col("text").isNull()).count() == 0
+
+
+def test_pipeline_edges(spark):
+    """Columns that share names with those the stages work with, nulls, repeated rows, a very long text, no rows."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    names = ["score", "selected", "lang_pred", "row", "_text", "key", "n_tokens", "component_id", "token", "a.b"]
+    wide = docs.select("*", *[F.lit("clash").alias(n) for n in names])
+    odd = wide.limit(1).withColumn("text", F.lit(None).cast("string")).unionByName(wide.limit(1).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    long = wide.limit(1).withColumn("doc_id", F.lit(10**6).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.repeat(F.lit("the plain words of a very long text stand here. "), 20_000))
+    rows = wide.unionByName(wide.limit(5)).unionByName(odd).unionByName(long)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, rows, DATA)
+        assert stage(spark, wide.limit(0), DATA).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert after.columns == wide.columns
+            rows = spark.createDataFrame(after.collect(), after.schema)
+    assert 0 < after.count() <= 128
