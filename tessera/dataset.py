@@ -1,30 +1,37 @@
 """Versioned datasets on Parquet: push, build and pull over immutable numbered revisions.
 
-A dataset is a folder. `data/version=n/table=t/...` holds what revision n wrote; `revisions/revision=n` is the complete
-state after it: one row (table, partition, version, run_id, n_rows, digest, path) for each pair of table and
-partition. Publishing a revision is one write into a folder that must not exist yet, so of two publishers of the same
-number one fails; readers see a revision whole or not at all. All data work is Spark jobs; the driver only handles
-the state rows, of which there is one per pair, and those as a DataFrame where they are compared.
+A dataset is a folder. `data/version=n-run/table=t/...` holds what a run wrote; `states/revision=n/attempt=run` is the
+complete state after revision n: one row (table, partition, version, run_id, n_rows, digest, path) for each pair of
+table and partition. The one small file `commits/n.json` names the run whose state counts, with its contracts and
+inputs: writing it publishes the revision. It can be created only once, so of two publishers of one number one fails,
+a reader sees a revision whole or not at all, and what a run that died before it has left is never read. All data work
+is Spark jobs; the driver only handles state rows, of which there is one per pair.
 """
 
 from __future__ import annotations
 
+import copy
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import commits
 from tessera.contract import TableContract, assert_exact_schema, empty, evolve, padded
 from tessera.errors import TesseraError
 from tessera.functions.order import content_digest
 from tessera.functions.widening import conform
 from tessera.operators import checks, versions
 from tessera.plans.identity import digest_of
+from tessera.plans.selection import choose
 
 STATE = "table string, partition string, version long, run_id string, n_rows long, digest string, path string"
+NOTE = "revision long, run_id string, reason string, inputs string, contracts string, at_us long"
+#: Times that a push starts over because others published what it doesn't touch.
+ATTEMPTS = 5
 
 
 @dataclass(frozen=True)
@@ -43,17 +50,19 @@ class Dataset:
 
     def history(self) -> DataFrame:
         """The states of all revisions, with `revision`."""
-        try:
-            return self.spark.read.schema(f"{STATE}, revision long").parquet(f"{self.path}/revisions")
-        except AnalysisException:
+        if not commits.exists(self.spark, f"{self.path}/states"):
             return self.spark.createDataFrame([], f"{STATE}, revision long")
+        rows = self.spark.read.schema(f"{STATE}, revision long, attempt string").parquet(f"{self.path}/states")
+        counted = self.notes().select("revision", F.col("run_id").alias("attempt"))
+        return rows.join(counted, ["revision", "attempt"]).select(*[c.split()[0] for c in STATE.split(", ")], "revision")
 
     def notes(self) -> DataFrame:
-        """One row per revision: reason, run_id, inputs and contracts as JSON, time of publication."""
-        try:
-            return self.spark.read.schema("reason string, run_id string, inputs string, contracts string, at timestamp, revision long").parquet(f"{self.path}/notes")
-        except AnalysisException:
-            return self.spark.createDataFrame([], "reason string, run_id string, inputs string, contracts string, at timestamp, revision long")
+        """One row per revision: run_id, reason, inputs and contracts as JSON, time of publication."""
+        if commits.exists(self.spark, f"{self.path}/commits"):
+            rows = self.spark.read.schema(NOTE).json(f"{self.path}/commits")
+        else:
+            rows = self.spark.createDataFrame([], NOTE)
+        return rows.withColumn("at", F.timestamp_micros("at_us")).drop("at_us")
 
     def latest(self) -> int:
         """The newest revision; 0, the empty state, if there is none."""
@@ -76,38 +85,69 @@ class Dataset:
 
     # Publishing
 
-    def push(self, tables: dict[str, tuple[DataFrame, TableContract]], not_null: dict[str, list[str]] | None = None, drop: tuple[str, ...] = (), reason: str = "push", inputs: dict | None = None, infer_omissions: bool = True, selected: DataFrame | None = None) -> Published:
+    def push(self, tables: dict[str, tuple[DataFrame, TableContract]], not_null: dict[str, list[str]] | None = None, drop: tuple[str, ...] = (), reason: str = "push", inputs: dict | None = None, infer_omissions: bool = True, selection: dict | None = None, base: int | None = None) -> Published:
         """Publish a full snapshot of the given tables.
 
         Partitions with unchanged content keep their version; partitions of given tables that are gone are omitted;
         a state equal to the base publishes nothing. Tables of the base that are neither given nor dropped are a
-        conflict, found before any data is read.
+        conflict, found before any data is read. `base` is the revision that the caller's data go back to (the latest
+        at the start, if not given): pairs that this push writes or omits, and that a revision after it has touched,
+        are a conflict, even if they look the same again. Other publications meanwhile are built upon.
         """
-        base_number = self.latest()
-        base = self.state(base_number)
-        if infer_omissions and (left := [r[0] for r in versions.undeclared(base, list(tables), list(drop)).limit(20).collect()]):
-            raise TesseraError("STATE_CONFLICT", f"tables {left} are neither declared nor dropped")
-        known = self.contracts(base_number)
-        contracts = {**{t: c for t, c in known.items() if t not in drop}, **{t: evolve(known.get(t), c) for t, (_, c) in tables.items()}}
-        number, run = base_number + 1, uuid.uuid4().hex
-        written = [self._write(t, df, c, number, run, (not_null or {}).get(t, [])) for t, (df, c) in tables.items()]
-        captured = written[0]
-        for more in written[1:]:
-            captured = captured.unionByName(more)
-        after = versions.reuse(base, captured)
-        paths = base.select(*versions.PAIR, F.col("version").alias("_v"), F.col("path").alias("_path"), F.col("run_id").alias("_run"))
-        after = after.join(paths, versions.PAIR, "left").withColumn("path", F.when(F.col("reused"), F.col("_path")).otherwise(F.col("path"))).withColumn("run_id", F.when(F.col("reused"), F.col("_run")).otherwise(F.col("run_id"))).select(*captured.columns)
-        untouched = base.where(~F.col("table").isin([*drop])).join(captured.select(*versions.PAIR), versions.PAIR, "left_anti")
-        if infer_omissions:
-            untouched = untouched.where(~F.col("table").isin(list(tables)))
-        after = after.unionByName(untouched.select(*captured.columns))
-        if selected is not None:  # explicit pair -> version choices, as a rollback makes them
-            chosen = self.history().join(selected.select(*versions.PAIR, "version"), [*versions.PAIR, "version"], "left_semi").drop("revision").dropDuplicates([*versions.PAIR, "version"])
-            after = after.join(chosen.select(*versions.PAIR), versions.PAIR, "left_anti").unionByName(chosen.select(*captured.columns))
-        if base_number and versions.same_state(base, after) and contracts == known:
-            return Published(base_number, False)
-        self._publish(number, after, contracts, run, reason, inputs or {})
-        return Published(number, True)
+        since = self.latest() if base is None else self.resolve(base)
+        written, run, folder = None, uuid.uuid4().hex, f"{self.path}/data"
+        for _ in range(ATTEMPTS):
+            number_before = self.latest()
+            before = self.state(number_before)
+            if infer_omissions and (left := [r[0] for r in versions.undeclared(before, list(tables), list(drop)).limit(20).collect()]):
+                raise TesseraError("STATE_CONFLICT", f"tables {left} are neither declared nor dropped")
+            known = self.contracts(number_before)
+            contracts = {**{t: c for t, c in known.items() if t not in drop}, **{t: evolve(known.get(t), c) for t, (_, c) in tables.items()}}
+            number = number_before + 1
+            if written is None:  # one row per partition of what was written
+                written = [r for t, (df, c) in tables.items() for r in self._write(t, df, c, f"{folder}/version={number}-{run}", run, (not_null or {}).get(t, []))]
+            captured = self.spark.createDataFrame([(*r[:2], number, *r[2:]) for r in written], STATE)
+            if selection:
+                captured = self._selected(before, captured, selection, number, run)
+                dropped = {tuple(x) for x in selection.get("drop", ())}
+            else:
+                dropped = set()
+            after = versions.reuse(before, captured)
+            paths = before.select(*versions.PAIR, F.col("path").alias("_path"), F.col("run_id").alias("_run"))
+            pick = lambda name, old: F.when(F.col("reused"), F.col(old)).otherwise(F.col(name)).alias(name)
+            after = after.join(paths, versions.PAIR, "left").select("table", "partition", "version", pick("run_id", "_run"), "n_rows", "digest", pick("path", "_path"), "reused")
+            untouched = before.where(~F.col("table").isin([*drop])).join(captured.select(*versions.PAIR), versions.PAIR, "left_anti")
+            if infer_omissions:
+                untouched = untouched.where(~F.col("table").isin(list(tables)))
+            if dropped:
+                untouched = untouched.join(self.spark.createDataFrame(list(dropped), "table string, partition string"), versions.PAIR, "left_anti")
+            touched = after.where(~F.col("reused")).select(*versions.PAIR)
+            touched = touched.unionByName(before.join(captured, versions.PAIR, "left_anti").join(untouched, versions.PAIR, "left_anti").select(*versions.PAIR))
+            if since < number_before and (hit := versions.conflicts(self.history(), since, touched).limit(20).collect()):
+                raise TesseraError("STATE_CONFLICT", f"changed since revision {since}: {sorted({(r['table'], r['partition']) for r in hit})}")
+            state = after.drop("reused").unionByName(untouched.select(*after.drop("reused").columns))
+            if number_before and versions.same_state(before, state) and contracts == known:
+                return Published(number_before, False)
+            try:
+                self._publish(number, state, contracts, run, reason, inputs or {})
+            except TesseraError:
+                continue  # another run published this number: look at what it did, and build upon it
+            return Published(number, True)
+        raise TesseraError("STATE_CONFLICT", f"others published {ATTEMPTS} times meanwhile")
+
+    def _selected(self, before: DataFrame, captured: DataFrame, selection: dict, number: int, run: str) -> DataFrame:
+        """The captured rows that a build selection lets in, with empty versions of the pairs it empties."""
+        empties = [tuple(x) for x in selection.get("empty", ())]
+        chosen = choose(before, captured, number=number, **{k: [tuple(x) for x in v] if isinstance(v, (list, tuple)) else v for k, v in selection.items()})
+        rows = captured.join(chosen.select(*versions.PAIR, "version"), [*versions.PAIR, "version"], "left_semi")
+        if empties:
+            made = []
+            for table, partition in empties:
+                contract, path = self.contracts()[table], f"{self.path}/data/version={number}-{run}/empty={len(made)}"
+                empty(self.spark, contract).write.mode("overwrite").parquet(path)
+                made.append((table, partition, number, run, 0, "empty", path))
+            rows = rows.unionByName(self.spark.createDataFrame(made, STATE))
+        return rows
 
     def rollback(self, to: int, reason: str = "rollback") -> Published:
         """A new revision with the state of an older one."""
@@ -115,25 +155,61 @@ class Dataset:
         self._publish(number, self.state(self.resolve(to)), self.contracts(to), run, reason, {})
         return Published(number, True)
 
-    def build(self, inputs: dict[str, tuple[Dataset, str, int | str]], outputs: dict[str, tuple[str, TableContract]], not_null: dict[str, list[str]] | None = None, reason: str = "build") -> Published:
+    def build(self, inputs: dict[str, tuple[Dataset, str, int | str]], outputs: dict[str, tuple[str, TableContract]], not_null: dict[str, list[str]] | None = None, reason: str = "build", selection: dict | None = None) -> Published:
         """Publish the results of one SELECT per output over fixed input revisions.
 
         `inputs` maps an alias to (dataset, table, revision); the SQL reads `input_<alias>`, and `self_<table>` for
-        this dataset's own base. Input revisions are resolved once and recorded with the revision.
+        this dataset's own base, and nothing else. Input revisions are resolved once and recorded with the revision.
+        A dataset that this one already goes into is refused as an input. `selection` (see `plans.selection.choose`)
+        says which of the made pairs enter the state.
         """
         fixed = {a: (d, t, d.resolve(r)) for a, (d, t, r) in inputs.items()}
+        base = self.latest()
+        for alias, (dataset, _, _) in fixed.items():
+            if (way := dataset.goes_back_to(self.path)) is not None:
+                raise TesseraError("INVALID_DECLARATION", f"input {alias} goes back to this dataset: {' <- '.join(way)}")
+        session = own_session(self.spark)
         for alias, (dataset, table, revision) in fixed.items():
-            dataset.read(table, revision).createOrReplaceTempView(f"input_{alias}")
-        for table in self.contracts():
-            self.read(table).createOrReplaceTempView(f"self_{table}")
-        made = {t: (conform(self.spark.sql(checks.one_select(sql)), contract), contract) for t, (sql, contract) in outputs.items()}
-        cited = {a: {"dataset": d.name, "table": t, "revision": r} for a, (d, t, r) in fixed.items()}
-        return self.push(made, not_null, reason=reason, inputs=cited, infer_omissions=False)
-
-    def _write(self, table: str, df: DataFrame, contract: TableContract, number: int, run: str, not_null: list[str]) -> DataFrame:
-        """Write a table's partitions once, check and digest what was written; state rows of the result."""
+            dataset.within(session).read(table, revision).createOrReplaceTempView(f"input_{alias}")
+        for table in self.contracts(base):
+            self.within(session).read(table, base).createOrReplaceTempView(f"self_{table}")
+        allowed = {f"input_{a}" for a in fixed} | {f"self_{t}" for t in self.contracts(base)}
+        made = {t: (conform(session.sql(checks.one_select(sql, allowed)), contract), contract) for t, (sql, contract) in outputs.items()}
+        cited = {a: {"dataset": d.name, "path": d.path, "table": t, "revision": r} for a, (d, t, r) in fixed.items()}
+        return self.push(made, not_null, reason=reason, inputs=cited, infer_omissions=False, selection=selection, base=base)
+
+    def within(self, session: SparkSession) -> Dataset:
+        """This dataset, read by another session of the same application."""
+        other = copy.copy(self)
+        other.spark = session
+        return other
+
+    def provenance(self, revision: int | str = "latest") -> DataFrame:
+        """(alias, dataset, path, table, input_revision) of the inputs of the runs that a revision's versions are of."""
+        runs = self.state(revision).select("run_id").distinct()
+        fields = "dataset string, path string, table string, revision long"
+        found = self.notes().join(runs, "run_id", "left_semi").select(F.explode(F.from_json("inputs", f"map<string, struct<{fields}>>")).alias("alias", "i"))
+        return found.select("alias", "i.dataset", "i.path", "i.table", F.col("i.revision").alias("input_revision")).distinct()
+
+    def goes_back_to(self, path: str) -> list[str] | None:
+        """The paths from this dataset back to `path` by the inputs of current states, breadth first; None if there are none."""
+        todo, seen = [(self.path, [self.path])], {self.path}
+        while todo:
+            at, way = todo.pop(0)
+            if at == path:
+                return way
+            root, _, name = at.rpartition("/")
+            for row in Dataset(self.spark, root, name).provenance().select("path").distinct().collect():
+                if row["path"] not in seen:
+                    seen.add(row["path"])
+                    todo.append((row["path"], [*way, row["path"]]))
+        return None
+
+    def _write(self, table: str, df: DataFrame, contract: TableContract, place: str, run: str, not_null: list[str]) -> list[tuple]:
+        """Write a table's partitions once, check and digest what was written; (table, partition, run_id, n_rows,
+        digest, path) of each."""
         assert_exact_schema(df, contract)
-        folder = f"{self.path}/data/version={number}-{run}/table={table}"
+        folder = f"{place}/table={table}"
         keys = contract.partition_columns
         parts = df.withColumns({f"k{i}": F.col(c) for i, c in enumerate(keys)}) if keys else df
         if keys:  # one task per partition value would be a hot spot: rows are dealt by value and a bounded salt
@@ -145,21 +221,15 @@ class Dataset:
         shown = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.col(f"_{k}_")) for k in contract.partition_keys]) if keys else F.lit("")
         sub = F.concat(*[F.concat(F.lit(f"/k{i}="), F.col(c)) for i, c in enumerate(keys)]) if keys else F.lit("")
         found = content_digest(back.withColumns({"_p": shown, "_sub": sub}), ["_p", "_sub"], df.columns)
-        rows = found.select(F.lit(table).alias("table"), F.col("_p").alias("partition"), F.lit(number).cast("long").alias("version"), F.lit(run).alias("run_id"), "n_rows", "digest", F.concat(F.lit(folder), F.col("_sub")).alias("path"))
-        if not keys:  # an empty table is an empty version, not an omission
-            none = self.spark.createDataFrame([(table, "", number, run, 0, "empty", folder)], STATE)
-            rows = none if back.isEmpty() else rows
-        return rows
+        rows = [(table, r["_p"], run, r["n_rows"], r["digest"], folder + r["_sub"]) for r in found.collect()]  # one row per partition
+        return rows if rows or keys else [(table, "", run, 0, "empty", folder)]  # an empty table is an empty version, not an omission
 
     def _publish(self, number: int, state: DataFrame, contracts: dict[str, TableContract], run: str, reason: str, inputs: dict) -> None:
         shown = json.dumps({t: {"columns": c.columns, "partition_keys": c.partition_keys} for t, c in contracts.items()})
-        state = state.select("table", "partition", "version", "run_id", "n_rows", "digest", "path")
-        note = self.spark.createDataFrame([(reason, run, json.dumps(inputs), shown)], "reason string, run_id string, inputs string, contracts string").withColumn("at", F.current_timestamp())
-        try:
-            state.write.mode("errorifexists").parquet(f"{self.path}/revisions/revision={number}")
-            note.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/notes/revision={number}")
-        except AnalysisException as e:
-            raise TesseraError("STATE_CONFLICT", f"revision {number} of {self.name} was published by another run") from e
+        state.select(*[c.split()[0] for c in STATE.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/states/revision={number}/attempt={run}")
+        note = {"revision": number, "run_id": run, "reason": reason, "inputs": json.dumps(inputs), "contracts": shown, "at_us": time.time_ns() // 1000}
+        if not commits.commit(self.spark, f"{self.path}/commits/{number}.json", json.dumps(note) + "\n"):
+            raise TesseraError("STATE_CONFLICT", f"revision {number} of {self.name} was published by another run")
 
     # Reading
 
@@ -190,40 +260,104 @@ class Dataset:
         own = versions.change_log(self.history(), limit)
         return own.join(self.notes().select("revision", "run_id", "reason", "at"), "revision").orderBy(F.desc("revision"))
 
+    def ls(self, revision: int | str = "latest") -> DataFrame:
+        """Tables of a revision: table, partitions, n_rows, columns."""
+        kept = [(t, [f"{n} {k}" for n, k in c.columns]) for t, c in self.contracts(revision).items()]
+        columns = self.spark.createDataFrame(kept, "table string, columns array<string>")
+        sums = self.state(revision).groupBy("table").agg(F.count("*").alias("partitions"), F.sum("n_rows").alias("n_rows"))
+        return columns.join(sums, "table", "left").select("table", F.coalesce("partitions", F.lit(0)).alias("partitions"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "columns")
+
+    def show(self, revision: int | str = "latest") -> DataFrame:
+        """Every pair of a revision with its version and the run that wrote it: when, why, from which inputs."""
+        number = self.resolve(revision)
+        runs = self.notes().select("run_id", F.col("revision").alias("written_in"), "reason", "inputs", "at")
+        return self.state(number).join(runs, "run_id", "left").select(F.lit(number).alias("revision"), F.lit(max(number - 1, 0)).alias("predecessor"), *versions.PAIR, "version", "n_rows", "digest", "run_id", "written_in", "reason", "inputs", "at")
+
+    def status(self) -> DataFrame:
+        """One row: revision, tables, partitions, n_rows, pins, and attempts that never published."""
+        number, state = self.latest(), self.state()
+        tried = 0
+        if commits.exists(self.spark, f"{self.path}/states"):
+            rows = self.spark.read.schema("revision long, attempt string").parquet(f"{self.path}/states").distinct()
+            tried = rows.join(self.notes().select("revision", F.col("run_id").alias("attempt")), ["revision", "attempt"], "left_anti").count()
+        sums = state.agg(F.count_distinct("table").alias("tables"), F.count("*").alias("partitions"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+        return sums.select(F.lit(number).alias("revision"), "*", F.lit(self.pins().count()).alias("pins"), F.lit(tried).alias("unpublished"))
+
     # Retention
 
     def pins(self) -> DataFrame:
         """Live pins (pin_id, revision): pinned and not released since."""
-        try:
-            rows = self.spark.read.schema("pin_id string, revision long, released boolean").option("recursiveFileLookup", "true").parquet(f"{self.path}/pins")
-        except AnalysisException:
-            rows = self.spark.createDataFrame([], "pin_id string, revision long, released boolean")
+        kinds = "pin_id string, revision long, released boolean"
+        there = commits.exists(self.spark, f"{self.path}/pins")
+        rows = self.spark.read.schema(kinds).option("recursiveFileLookup", "true").json(f"{self.path}/pins") if there else self.spark.createDataFrame([], kinds)
         return rows.groupBy("pin_id").agg(F.max("revision").alias("revision"), F.bool_or("released").alias("released")).where("NOT released").drop("released")
 
     def pin(self, revision: int | str, pin_id: str) -> None:
         """Keep a revision; the same id pins only once, and a released id never again."""
         number = self.resolve(revision)
-        try:
-            self.spark.createDataFrame([(pin_id, number, False)], "pin_id string, revision long, released boolean").coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/pins/id={pin_id}/pin")
-        except AnalysisException as e:
+        if not commits.commit(self.spark, f"{self.path}/pins/{pin_id}/pin.json", json.dumps({"pin_id": pin_id, "revision": number, "released": False})):
             if self.pins().where((F.col("pin_id") == pin_id) & (F.col("revision") == number)).isEmpty():
-                raise TesseraError("REQUEST_MISMATCH", f"pin {pin_id} was used for another revision or released") from e
+                raise TesseraError("REQUEST_MISMATCH", f"pin {pin_id} was used for another revision or released")
 
     def unpin(self, pin_id: str) -> None:
-        if self.pins().where(F.col("pin_id") == pin_id).isEmpty():
-            return
-        number = self.pins().where(F.col("pin_id") == pin_id).first()["revision"]
-        self.spark.createDataFrame([(pin_id, number, True)], "pin_id string, revision long, released boolean").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pins/id={pin_id}/release")
+        row = self.pins().where(F.col("pin_id") == pin_id).first()
+        if row is not None:
+            commits.commit(self.spark, f"{self.path}/pins/{pin_id}/release.json", json.dumps({"pin_id": pin_id, "revision": row["revision"], "released": True}))
 
     def gc(self, grace_seconds: int = 0, holds: DataFrame | None = None) -> DataFrame:
-        """Every version in the history with its class (Protected or Eligible), by pins, holds (revision) and grace."""
-        newer = F.lead("at").over(Window.orderBy("revision"))
+        """Every version in the history with its class, the reasons that keep it, and its bytes on disk.
+
+        Classes: AlreadyPruned, Protected (by the latest revision, the grace period or a pin), NeedsHoldRelease (by
+        nothing but holds, a table with `revision`), NeedsRecovery (written by an attempt that never published; the
+        attempt has to be known to be dead before its files go) and Eligible.
+        """
+        newer = F.lead("at").over(Window.orderBy("revision"))  # one row per revision
         revisions = self.notes().select("revision", newer.alias("superseded_at"))
         none = self.spark.createDataFrame([], "revision long")
-        kept = versions.kept_revisions(revisions, F.current_timestamp(), grace_seconds, self.pins(), holds if holds is not None else none)
-        own = self.history()
-        written = own.select(*versions.PAIR, "version", "path").distinct()
-        return versions.gc_candidates(written, own, kept, self.spark.createDataFrame([], "table string, partition string, version long"))
+        own, held = self.history(), (holds if holds is not None else none).select("revision")
+        kept = versions.kept_revisions(revisions, F.current_timestamp(), grace_seconds, self.pins(), none)
+        reasons = revisions.where(F.col("superseded_at").isNull()).select("revision", F.lit("latest").alias("reason"))
+        reasons = reasons.unionByName(kept.join(self.pins(), "revision", "left_anti").join(reasons, "revision", "left_anti").select("revision", F.lit("grace").alias("reason")))
+        reasons = reasons.unionByName(self.pins().select("revision", F.lit("pin").alias("reason"))).unionByName(held.select("revision", F.lit("hold").alias("reason")))
+        key = [*versions.PAIR, "version"]
+        why = own.join(reasons, "revision").groupBy(*key).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+        found = versions.gc_candidates(own.select(*key, "path").distinct(), own, kept.unionByName(held).distinct(), self.pruned())
+        found = found.join(why, key, "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+        only_held = (F.size("reasons") == 1) & F.array_contains("reasons", "hold") & (F.col("class") == "Protected")
+        found = found.withColumn("class", F.when(only_held, "NeedsHoldRelease").otherwise(F.col("class")))
+        bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+        if commits.exists(self.spark, f"{self.path}/data"):
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/data").select("path", "length")
+            sizes = files.groupBy(bare(F.regexp_replace("path", "/[^/]*$", "")).alias("_at")).agg(F.sum("length").alias("bytes"))
+        else:
+            sizes = self.spark.createDataFrame([], "_at string, bytes long")
+        known = found.withColumn("_at", bare(F.col("path"))).join(sizes, "_at", "full_outer")
+        stray = F.col("class").isNull()
+        return known.select(
+            F.when(stray, F.regexp_extract("_at", "/table=([^/]*)", 1)).otherwise(F.col("table")).alias("table"), F.when(stray, "").otherwise(F.col("partition")).alias("partition"), "version",
+            F.when(stray, F.col("_at")).otherwise(F.col("path")).alias("path"), F.when(stray, "NeedsRecovery").otherwise(F.col("class")).alias("class"), "reasons", F.coalesce("bytes", F.lit(0)).alias("bytes"),
+        )
+
+    def pruned(self) -> DataFrame:
+        """Versions (table, partition, version) whose files were deleted, or are about to be."""
+        kinds = "table string, partition string, version long"
+        return self.spark.read.schema(kinds).parquet(f"{self.path}/pruned") if commits.exists(self.spark, f"{self.path}/pruned") else self.spark.createDataFrame([], kinds)
+
+    def prune(self, grace_seconds: int = 0, holds: DataFrame | None = None) -> int:
+        """Delete the files of eligible versions; how many versions.
+
+        The versions are written down before anything is deleted, and checked again after that: a pin set meanwhile
+        keeps its own. A prune that died midway is ended by the next.
+        """
+        first = self.gc(grace_seconds, holds).where("class = 'Eligible'").select(*versions.PAIR, "version", "path").collect()  # one row per version
+        again = self.gc(grace_seconds, holds).where("class = 'Eligible'").select("path").distinct()
+        still = {r["path"] for r in again.collect()}
+        gone = [r for r in first if r["path"] in still]
+        if gone:
+            self.spark.createDataFrame([(r["table"], r["partition"], r["version"]) for r in gone], "table string, partition string, version long").coalesce(1).write.mode("append").parquet(f"{self.path}/pruned")
+        for path in {r["path"] for r in gone} | {r["path"] for r in self.gc().where("class = 'AlreadyPruned' AND bytes > 0").select("path").collect()}:
+            commits.remove(self.spark, path)
+        return len(gone)
 
     def verify(self, revision: int | str = "latest") -> DataFrame:
         """State rows whose files no longer have the recorded content."""
@@ -239,34 +373,47 @@ class Dataset:
         return state.join(found, versions.PAIR, "left").where((F.col("n_rows") > 0) & ~F.col("digest").eqNullSafe(F.col("now")))
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the same settings and no views: its names clash with nobody's."""
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    return session
+
+
 class Destination:
     """Tables that pulls write. Each pull writes new generations of its tables, then one receipt that names them all;
-    readers follow the newest receipt, so a pull is seen whole or not at all, and a repeated attempt finds its receipt."""
+    readers follow the newest receipt, so a pull is seen whole or not at all, and a repeated attempt finds its receipt.
+    A receipt says for each target which folders make it up and which dataset it is of."""
 
-    RECEIPT = "attempt string, request string, generations map<string,string>, at timestamp"
+    RECEIPT = "n long, attempt string, request string, generations map<string,array<string>>, owners map<string,string>, at_us long"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
     def receipts(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"{self.RECEIPT}, n long").parquet(f"{self.path}/receipts")
-        except AnalysisException:
-            return self.spark.createDataFrame([], f"{self.RECEIPT}, n long")
+        there = commits.exists(self.spark, f"{self.path}/receipts")
+        return self.spark.read.schema(self.RECEIPT).json(f"{self.path}/receipts") if there else self.spark.createDataFrame([], self.RECEIPT)
+
+    def _newest(self) -> tuple[int, dict[str, list[str]], dict[str, str]]:
+        row = self.receipts().orderBy(F.desc("n")).select("n", "generations", "owners").first()
+        return (row["n"], {t: list(p) for t, p in row["generations"].items()}, dict(row["owners"])) if row else (0, {}, {})
 
-    def generations(self) -> dict[str, str]:
-        row = self.receipts().orderBy(F.desc("n")).select("generations").first()
-        return dict(row[0]) if row else {}
+    def generations(self) -> dict[str, list[str]]:
+        return self._newest()[1]
 
     def read(self, table: str, contract: TableContract) -> DataFrame:
-        path = self.generations().get(table)
-        return padded(self.spark.read.parquet(path), contract) if path else empty(self.spark, contract)
+        paths = self.generations().get(table)
+        return padded(self.spark.read.schema(contract.schema).parquet(*paths), contract) if paths else empty(self.spark, contract)
 
-    def pull(self, source: Dataset, plan: dict[str, dict], revision: int | str = "latest", write: str = "replace", not_null: dict[str, list[str]] | None = None, attempt: str | None = None) -> dict[str, str]:
+    def pull(self, source: Dataset, plan: dict[str, dict], revision: int | str = "latest", write: str = "replace", not_null: dict[str, list[str]] | None = None, attempt: str | None = None) -> dict[str, list[str]]:
         """Write targets from a revision. `plan` maps a target to {table, partitions?, sql?, contract}.
 
-        SQL reads `source_<table>` and `target_<target>`, the rows before any write: all results are written to
-        new generations before the receipt makes any of them visible. `write` is `replace` or `append`.
+        SQL reads `source_<table>` and `target_<target>`, the rows before any write, and nothing else: all results
+        are written to new generations before the receipt makes any of them visible. `write` is `replace`, which also
+        clears targets that an earlier pull of the same dataset wrote and this plan no longer names, or `append`,
+        which adds a folder to the target and reads or writes nothing again.
         """
         number = source.resolve(revision)
         request = digest_of({"dataset": source.name, "revision": number, "write": write, "plan": {t: {k: v for k, v in p.items() if k != "contract"} for t, p in plan.items()}})
@@ -274,25 +421,30 @@ class Destination:
         if (done := self.receipts().where(F.col("attempt") == attempt).first()) is not None:
             if done["request"] != request:
                 raise TesseraError("REQUEST_MISMATCH", "the attempt was made with another request")
-            return dict(done["generations"])
+            return {t: list(p) for t, p in done["generations"].items()}
         if write not in ("replace", "append"):
             raise TesseraError("INVALID_ARGUMENT", f"no such write mode: {write}")
+        n, before, owners = self._newest()
+        if taken := [t for t in plan if owners.get(t, source.path) != source.path]:
+            raise TesseraError("STATE_CONFLICT", f"targets {taken} are of another dataset")
+        session = own_session(self.spark)
         for target, p in plan.items():
-            source.read(p["table"], number, p.get("partitions")).createOrReplaceTempView(f"source_{p['table']}")
-            self.read(target, p["contract"]).createOrReplaceTempView(f"target_{target}")
+            source.within(session).read(p["table"], number, p.get("partitions")).createOrReplaceTempView(f"source_{p['table']}")
+            rows = session.read.schema(p["contract"].schema).parquet(*before[target]) if before.get(target) else empty(session, p["contract"])
+            padded(rows, p["contract"]).createOrReplaceTempView(f"target_{target}")
+        allowed = {f"source_{p['table']}" for p in plan.values()} | {f"target_{t}" for t in plan}
         made = {}
         for target, p in plan.items():
-            rows = self.spark.sql(checks.one_select(p["sql"])) if p.get("sql") else self.spark.table(f"source_{p['table']}")
-            rows = conform(rows, p["contract"])
-            if write == "append":
-                rows = self.read(target, p["contract"]).unionByName(rows)
-            made[target] = f"{self.path}/generations/{attempt}/{target}"
-            rows.write.mode("overwrite").parquet(made[target])
-            checks.require(self.spark.read.parquet(made[target]), checks.not_null((not_null or {}).get(target, [])) or {"none": F.lit(False)})
-        n = (self.receipts().agg(F.max("n")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([(attempt, request, {**self.generations(), **made})], "attempt string, request string, generations map<string,string>")
-        try:
-            row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/receipts/n={n}")
-        except AnalysisException as e:
-            raise TesseraError("STATE_CONFLICT", "another pull wrote the destination meanwhile") from e
-        return {**self.generations()}
+            rows = session.sql(checks.one_select(p["sql"], allowed)) if p.get("sql") else session.table(f"source_{p['table']}")
+            path = f"{self.path}/generations/{attempt}/{target}"
+            conform(rows, p["contract"]).write.mode("overwrite").parquet(path)
+            checks.require(self.spark.read.schema(p["contract"].schema).parquet(path), checks.not_null((not_null or {}).get(target, [])) or {"none": F.lit(False)})
+            made[target] = [*before.get(target, []), path] if write == "append" else [path]
+        if write == "replace":
+            gone = {t for t, o in owners.items() if o == source.path and t not in plan}
+            before, owners = {t: p for t, p in before.items() if t not in gone}, {t: o for t, o in owners.items() if t not in gone}
+        after = {**before, **made}
+        receipt = {"n": n + 1, "attempt": attempt, "request": request, "generations": after, "owners": {**owners, **dict.fromkeys(plan, source.path)}, "at_us": time.time_ns() // 1000}
+        if not commits.commit(self.spark, f"{self.path}/receipts/{n + 1}.json", json.dumps(receipt) + "\n"):
+            raise TesseraError("STATE_CONFLICT", "another pull wrote the destination meanwhile")
+        return after

@@ -54,12 +54,22 @@ def int_from_text(text: Column) -> tuple[Column, Column]:
     return whole, text.isNotNull() & (bad | whole.isNull())
 
 
+def _digits(text: Column) -> tuple[Column, Column]:
+    """Significant digits of a number's text, and the power of ten that their last one stands for."""
+    parts = [F.regexp_extract(text, r"^[+-]?(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$", i) for i in (1, 2, 3)]
+    raw = F.regexp_replace(F.concat(parts[0], parts[1]), "^0+", "")
+    kept = F.regexp_replace(raw, "0+$", "")
+    power = F.coalesce(F.nullif(parts[2], F.lit("")).try_cast("int"), F.lit(0)) - F.length(parts[1]) + F.length(raw) - F.length(kept)
+    return kept, F.when(kept == "", 0).otherwise(power)
+
+
 def double_from_text(text: Column) -> tuple[Column, Column]:
-    """A finite number whose shortest decimal form is the text's value; minus zero becomes zero."""
-    value = F.trim(text).try_cast("double")
-    exact, lost = decimal_from_text(text, 38, 18)
-    back, _ = decimal_from_text(value.cast("string"), 38, 18)
-    good = F.trim(text).rlike(NUMBER) & ~lost & (exact == back)
+    """A finite number whose shortest decimal form is the text's value; minus zero becomes zero. Digits and powers of
+    ten are compared as text, so numbers of any size are decided exactly."""
+    bare = F.trim(text)
+    value = bare.try_cast("double")
+    (digits, power), (back, back_power) = _digits(bare), _digits(value.cast("string"))
+    good = bare.rlike(NUMBER) & value.isNotNull() & (F.abs(value) < float("inf")) & (digits == back) & (power == back_power)
     return F.when(good, value + F.lit(0.0)), text.isNotNull() & ~F.coalesce(good, F.lit(False))
 
 
