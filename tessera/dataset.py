@@ -14,6 +14,7 @@ import copy
 import json
 import time
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -126,15 +127,24 @@ class Dataset:
             if since < number_before and (hit := versions.conflicts(self.history(), since, touched).limit(20).collect()):
                 raise TesseraError("STATE_CONFLICT", f"changed since revision {since}: {sorted({(r['table'], r['partition']) for r in hit})}")
             state = after.drop("reused").unionByName(untouched.select(*after.drop("reused").columns))
+            paths = {(r[0], r[1]): r[5] for r in written}
             if number_before and versions.same_state(before, state) and contracts == known:
+                self._forget(paths.values())
                 return Published(number_before, False)
+            unchanged = [paths[r["table"], r["partition"]] for r in after.where("reused").select(*versions.PAIR).collect() if (r["table"], r["partition"]) in paths]
             try:
                 self._publish(number, state, contracts, run, reason, inputs or {})
             except TesseraError:
                 continue  # another run published this number: look at what it did, and build upon it
+            self._forget(unchanged)
             return Published(number, True)
         raise TesseraError("STATE_CONFLICT", f"others published {ATTEMPTS} times meanwhile")
 
+    def _forget(self, paths: Iterable[str]) -> None:
+        """Delete partitions that this run wrote and that no state names, as their content was there already."""
+        for path in paths:
+            commits.remove(self.spark, path)
+
     def _selected(self, before: DataFrame, captured: DataFrame, selection: dict, number: int, run: str) -> DataFrame:
         """The captured rows that a build selection lets in, with empty versions of the pairs it empties."""
         empties = [tuple(x) for x in selection.get("empty", ())]

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LARGEST = 9223372036854775807
 
 
+@F.arrow_udf(T.LongType())
+def _raw_bits(values: pa.Array) -> pa.Array:
+    """The 64 bits of each double, without a round through text."""
+    return pa.Array.from_buffers(pa.int64(), len(values), values.buffers(), offset=values.offset)
+
+
 def double_key(column: Column) -> Column:
     """A long that orders doubles as IEEE totalOrder does: -NaN < -inf < ... < -0 < +0 < ... < inf < NaN."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), F.coalesce(column, F.lit(0.0))).cast("long")
+    bits = _raw_bits(column)
     return F.when(column.isNotNull(), bits.bitwiseXOR(F.shiftright(bits, 63).bitwiseAND(F.lit(LARGEST))))
 
 
@@ -37,3 +44,18 @@ def content_digest(df: DataFrame, by: list[str], columns: list[str] | None = Non
     hashed = df.select(*by, first.alias("_a"), second.alias("_b"))
     sums = hashed.groupBy(*by).agg(F.count("*").alias("n_rows"), wide(F.col("_a")).alias("_s"), wide(F.col("_b")).alias("_t"), F.bit_xor("_a").alias("_x"))
     return sums.select(*by, "n_rows", F.sha2(F.concat_ws(":", "n_rows", "_s", "_t", "_x"), 256).alias("digest"))
+
+
+def canonical_places(df: DataFrame, folder: str, name: str = "place") -> DataFrame:
+    """`df` with each row's place in the canonical order, from 1.
+
+    Rows are dealt by ranges and written to `folder`, as ranges may differ when they are computed again; then they are
+    sorted within their range, whose first place follows from the sizes of those before it (one row each).
+    """
+    keys = canonical_order(df)
+    df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).write.parquet(folder)
+    ranged = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(folder)
+    within = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return within.join(F.broadcast(before), "_range").withColumn(name, F.col("_at") + F.col("_before")).drop("_range", "_at", "_before")

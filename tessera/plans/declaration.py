@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -35,7 +36,28 @@ class _Strict(yaml.SafeLoader):
         return super().construct_mapping(node, deep)
 
 
-_Strict.yaml_implicit_resolvers = {k: [(t, r) for t, r in v if t not in ("tag:yaml.org,2002:timestamp", "tag:yaml.org,2002:merge")] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+# Scalars of the core schema of YAML 1.2: no yes and no, no octals by a leading zero, no sexagesimals, no underscores.
+_Strict.yaml_implicit_resolvers = {}
+for _tag, _pattern, _first in (
+    ("null", r"~|null|Null|NULL|", ["~", "n", "N", ""]),
+    ("bool", r"true|True|TRUE|false|False|FALSE", list("tTfF")),
+    ("int", r"[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+", list("-+0123456789")),
+    ("float", r"[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?|[-+]?\.(inf|Inf|INF)|\.(nan|NaN|NAN)", list("-+0123456789.")),
+):
+    _Strict.add_implicit_resolver(f"tag:yaml.org,2002:{_tag}", re.compile(f"^(?:{_pattern})$"), _first)
+
+
+def _whole(loader: _Strict, node: yaml.ScalarNode) -> int:
+    text = node.value
+    return int(text[2:], 8) if text.startswith("0o") else int(text[2:], 16) if text.startswith("0x") else int(text)
+
+
+def _number(loader: _Strict, node: yaml.ScalarNode) -> float:
+    return float(node.value.replace(".inf", "inf").replace(".Inf", "inf").replace(".INF", "inf").replace(".nan", "nan").replace(".NaN", "nan").replace(".NAN", "nan"))
+
+
+_Strict.add_constructor("tag:yaml.org,2002:int", _whole)
+_Strict.add_constructor("tag:yaml.org,2002:float", _number)
 
 
 def parse(text: str) -> dict:

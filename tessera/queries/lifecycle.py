@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.contract import TableContract
 from tessera.dataset import Dataset, Destination
+from tessera.errors import TesseraError
 from tessera.functions.calendar import derive
 from tessera.operators import versions
 from tessera.operators.joins import append_new, latest
 from tessera.plans.selection import choose
-from tessera.queries import query, t
+from tessera.plans import run
+from tessera.plans.declaration import load
+from tessera.queries import fresh, query, t
 
 #: The state after revision r: pairs (priority, year-month) and the number of orders in them up to year 1994 + r.
 STATE_SQL = "SELECT o_orderpriority AS \"table\", strftime(o_orderdate, '%m') AS \"partition\", count(*) AS version FROM orders WHERE year(o_orderdate) <= {year} AND NOT ({year} = 1996 AND o_orderpriority LIKE '1%') GROUP BY 1, 2"
@@ -137,11 +137,6 @@ LINES = TableContract((("l_orderkey", "int64"), ("l_linenumber", "int64"), ("pri
 TOTALS = TableContract((("month", "utf8"), ("total", "decimal128(38,4)")))
 
 
-def fresh(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/datasets-{uuid.uuid4().hex}"
-
-
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     rows = t(spark, sf, "lineitem")
     return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_extendedprice").cast("decimal(18,2)").alias("price"), derive(F.col("l_shipdate"), "month").alias("_month_"))
@@ -215,3 +210,143 @@ def qualify_latest(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
 def append_antijoin(spark: SparkSession, sf: str) -> DataFrame:
     return append_new(t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), t(spark, sf, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+LOW_BALANCE = """
+declaration_version: 1
+kind: push
+dataset: crm
+tables:
+  - name: clients
+    source: {table: customer, where: "c_acctbal < 1000 AND extract(YEAR FROM DATE '1995-01-01') = 1995"}
+    columns:
+      - {name: client, source: c_custkey, type: int64}
+      - {name: balance, source: c_acctbal, type: double}
+  - name: bills
+    source: {table: orders}
+    partition_keys: [year]
+    columns:
+      - {name: client, source: o_custkey, type: int64}
+      - {name: bill, source: o_orderkey, type: int64}
+      - {name: billed_at, source: o_orderdate, type: "timestamp(us)"}
+      - {name: _year_, type: utf8, derive: {from: billed_at, unit: year}}
+checks:
+  - {table: bills, not_null: [client, bill]}
+"""
+BILLS_BUILD = """
+declaration_version: 1
+kind: push
+dataset: bills_by_client
+build:
+  inputs:
+    - {as: clients, table: crm/clients}
+    - {as: bills, table: crm/bills}
+tables:
+  - name: counts
+    select: {sql: "SELECT b.client, count(*) AS bills FROM input_bills b JOIN input_clients c ON c.client = b.client WHERE b._year_ >= '1995' GROUP BY b.client"}
+    columns: [{name: client, type: int64}, {name: bills, type: int64}]
+checks:
+  - {table: counts, not_null: [client]}
+"""
+BILLS_PULL = """
+declaration_version: 1
+kind: pull
+dataset: bills_by_client
+write: replace
+tables:
+  - name: counts
+    target: {table: bill_counts}
+checks: []
+"""
+
+
+@query("SELECT o_custkey AS client, count(*) AS bills FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 1000 AND year(o_orderdate) >= 1995 GROUP BY 1")
+def declared_transfer(spark: SparkSession, sf: str) -> DataFrame:
+    """Three declarations: push two tables, build over their revision, pull the result."""
+    root = fresh(spark)
+    target = Destination(spark, f"{root}/app")
+    run.push(spark, load(LOW_BALANCE), root, {"customer": t(spark, sf, "customer"), "orders": t(spark, sf, "orders")})
+    run.push(spark, load(BILLS_BUILD), root, {})
+    contracts = run.pull(spark, load(BILLS_PULL), root, target)
+    return target.read("bill_counts", contracts["bill_counts"])
+
+
+REGION_COUNTS = TableContract((("region", "int64"), ("nations", "int64"), ("_kind_", "utf8")), ("kind",))
+
+
+def nations(spark: SparkSession, sf: str, where: str) -> DataFrame:
+    rows = t(spark, sf, "nation").where(where).groupBy(F.col("n_regionkey").cast("long").alias("region")).agg(F.count("*").alias("nations"))
+    return rows.withColumn("_kind_", F.when(F.col("region") < 2, "low").when(F.col("region") < 4, "mid").otherwise("high"))
+
+
+@query("""SELECT region, nations, kind AS _kind_ FROM (SELECT n_regionkey AS region, CASE WHEN n_regionkey < 2 THEN 'low' WHEN n_regionkey < 4 THEN 'mid' ELSE 'high' END AS kind,
+  CASE WHEN n_regionkey < 2 THEN count(*) FILTER (WHERE n_nationkey % 2 = 0) ELSE count(*) END AS nations FROM nation GROUP BY n_regionkey) WHERE kind <> 'high'""")
+def selected_build(spark: SparkSession, sf: str) -> DataFrame:
+    """A build whose selection lets in one partition, holds another and empties the third."""
+    root = fresh(spark)
+    raw, out = Dataset(spark, root, "raw"), Dataset(spark, root, "regions")
+    out.push({"counts": (nations(spark, sf, "true"), REGION_COUNTS)})
+    raw.push({"counts": (nations(spark, sf, "n_nationkey % 2 = 0").where("_kind_ <> 'high'"), REGION_COUNTS)})
+    chosen = {"policy": "explicit", "include": [("counts", "kind=low")], "hold": [("counts", "kind=mid")], "empty": [("counts", "kind=high")]}
+    out.build({"raw": (raw, "counts", "latest")}, {"counts": ("SELECT region, nations, _kind_ FROM input_raw", REGION_COUNTS)}, selection=chosen)
+    return out.read("counts")
+
+
+@query("""SELECT 'kind=' || kind AS "partition", CASE kind WHEN 'low' THEN 2 ELSE 1 END AS version, CASE kind WHEN 'low' THEN 'second' ELSE 'first' END AS reason, count(*) AS n_rows
+  FROM (SELECT DISTINCT n_regionkey, CASE WHEN n_regionkey < 2 THEN 'low' WHEN n_regionkey < 4 THEN 'mid' ELSE 'high' END AS kind FROM nation) GROUP BY kind""")
+def show_revision(spark: SparkSession, sf: str) -> DataFrame:
+    """What a revision holds, and which run wrote each version."""
+    d = Dataset(spark, fresh(spark), "regions")
+    rows = nations(spark, sf, "true")
+    d.push({"counts": (rows, REGION_COUNTS)}, reason="first")
+    d.push({"counts": (rows.withColumn("nations", F.when(F.col("_kind_") == "low", F.col("nations") + 1).otherwise(F.col("nations"))), REGION_COUNTS)}, reason="second")
+    return d.show().select("partition", "version", "reason", "n_rows")
+
+
+@query("""SELECT 2 AS revision, 1 AS "tables", 3 AS partitions, count(DISTINCT n_regionkey) AS n_rows, 1 AS pins, 0 AS unpublished FROM nation""")
+def status_of(spark: SparkSession, sf: str) -> DataFrame:
+    d = Dataset(spark, fresh(spark), "regions")
+    for reason in ("n_nationkey % 2 = 0", "true"):
+        d.push({"counts": (nations(spark, sf, reason), REGION_COUNTS)}, reason=reason)
+    d.pin(1, "keep")
+    return d.status().select(F.col("revision").cast("long").alias("revision"), "tables", "partitions", "n_rows", F.col("pins").cast("long").alias("pins"), F.col("unpublished").cast("long").alias("unpublished"))
+
+
+@query("""SELECT * FROM (VALUES ('kind=low', 1, 'AlreadyPruned', ''), ('kind=low', 2, 'NeedsHoldRelease', 'hold'), ('kind=low', 3, 'Protected', 'latest'), ('kind=mid', 1, 'Protected', 'hold,latest'), ('kind=high', 1, 'Protected', 'hold,latest')) AS v("partition", version, class, reasons)""")
+def gc_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Three pushes that change one partition; its first version is pruned, its second held."""
+    d = Dataset(spark, fresh(spark), "regions")
+    rows = nations(spark, sf, "true")
+    for n in range(3):
+        d.push({"counts": (rows.withColumn("nations", F.when(F.col("_kind_") == "low", F.col("nations") + n).otherwise(F.col("nations"))), REGION_COUNTS)})
+    held = spark.createDataFrame([(2,)], "revision long")
+    d.prune(holds=held)
+    return d.gc(holds=held).select("partition", F.col("version").cast("int").alias("version"), "class", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_nationkey < 12")
+def pull_replaces_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """A replacing pull clears the target that its plan no longer names; an append adds rows to what is there."""
+    root, contract = fresh(spark), TableContract((("id", "int64"),))
+    source, target = Dataset(spark, root, "suppliers"), Destination(spark, f"{root}/app")
+    rows = t(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), "s_nationkey")
+    source.push({"all": (rows.select("id"), contract), "low": (rows.where("s_nationkey < 6").select("id"), contract), "mid": (rows.where("s_nationkey BETWEEN 6 AND 11").select("id"), contract)})
+    target.pull(source, {"a": {"table": "low", "contract": contract}, "b": {"table": "all", "contract": contract}})
+    target.pull(source, {"a": {"table": "low", "contract": contract}})
+    target.pull(source, {"a": {"table": "mid", "contract": contract}}, write="append")
+    return target.read("a", contract).unionByName(target.read("b", contract))
+
+
+@query("SELECT 'refused' AS outcome, count(*) AS n FROM region WHERE r_regionkey = 0")
+def build_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    """A build whose input goes back to its own output is refused."""
+    root, contract = fresh(spark), TableContract((("id", "int64"),))
+    a, b, c = (Dataset(spark, root, n) for n in ("a", "b", "c"))
+    a.push({"t": (t(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id")), contract)})
+    b.build({"x": (a, "t", "latest")}, {"t": ("SELECT id FROM input_x", contract)})
+    c.build({"x": (b, "t", "latest")}, {"t": ("SELECT id FROM input_x", contract)})
+    try:
+        a.build({"x": (c, "t", "latest")}, {"t": ("SELECT id FROM input_x", contract)})
+    except TesseraError as e:
+        return spark.createDataFrame([("refused" if "goes back" in str(e) else str(e), 1)], "outcome string, n long")
+    return spark.createDataFrame([("published", 1)], "outcome string, n long")

@@ -52,7 +52,19 @@ same_sql("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n
 same_sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)", ["orders"])
 same_sql("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", ["orders"])
 same_sql("agg_entropy", "SELECT round(-sum(n / total * log2(n / total)), 6) AS entropy FROM (SELECT count(*) AS n, sum(count(*)) OVER () AS total FROM {orders} GROUP BY o_orderpriority)", ["orders"], "SELECT round(entropy(o_orderpriority), 6) AS entropy FROM orders")
-same_sql("agg_content_hash", "SELECT lang, sha2(array_join(array_sort(collect_list(sha2(text, 256))), ''), 256) AS digest FROM {documents} GROUP BY lang", ["documents"], "SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS digest FROM documents GROUP BY lang")
+same_sql("agg_content_hash", "SELECT lang, sha2(concat_ws(':', count(text), sum(CAST(h AS DECIMAL(38,0))), bit_xor(h)), 256) AS digest FROM (SELECT lang, text, CAST(conv(substr(md5(text), 1, 15), 16, 10) AS BIGINT) AS h FROM {documents}) GROUP BY lang", ["documents"], "SELECT lang, sha256(concat_ws(':', count(text), sum(h), bit_xor(h))) AS digest FROM (SELECT lang, text, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS h FROM documents) GROUP BY lang")
+same_sql("agg_shape", "SELECT l_linenumber, round(kurtosis(l_quantity), 4) AS ku, round(regr_intercept(l_extendedprice, l_quantity), 3) AS ri, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(any_value(l_linenumber) AS BIGINT) AS one FROM {lineitem} GROUP BY l_linenumber", ["lineitem"], "SELECT l_linenumber, round(kurtosis_pop(l_quantity), 4) AS ku, round(regr_intercept(l_extendedprice, l_quantity), 3) AS ri, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(any_value(l_linenumber) AS BIGINT) AS one FROM lineitem GROUP BY l_linenumber")
+same_sql("agg_mode_disc", "SELECT p_brand, CAST(percentile_disc(0.25) WITHIN GROUP (ORDER BY p_size) AS BIGINT) AS q, mode(substr(p_brand, 1, 5)) AS m FROM {part} GROUP BY p_brand", ["part"], "SELECT p_brand, CAST(quantile_disc(p_size, 0.25) AS BIGINT) AS q, mode(substr(p_brand, 1, 5)) AS m FROM part GROUP BY p_brand")
+same_sql("agg_approximate", "SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS distinct_near, abs(approx_percentile(l_extendedprice, 0.5, 1000) - median(l_extendedprice)) <= 0.05 * median(l_extendedprice) AS median_near FROM {lineitem} GROUP BY l_returnflag", ["lineitem"], "SELECT l_returnflag, true AS distinct_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
+same_sql("agg_histogram", "SELECT o_orderstatus, floor(o_totalprice / 100000) AS bin, count(*) AS n FROM {orders} GROUP BY 1, 2", ["orders"], "SELECT o_orderstatus, CAST(floor(o_totalprice / 100000) AS BIGINT) AS bin, count(*) AS n FROM orders GROUP BY 1, 2")
+same_sql("agg_first_last", "SELECT o_custkey, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS first_order, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS last_order FROM {orders} GROUP BY o_custkey", ["orders"], "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey")
+
+
+@query("SELECT n_regionkey, product(n_nationkey % 3 + 1) AS p FROM nation GROUP BY n_regionkey")
+def agg_product(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "nation").groupBy("n_regionkey").agg(F.product(F.col("n_nationkey") % 3 + 1).alias("p"))
+
+
 
 # Windows
 W = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
@@ -86,4 +98,16 @@ same_sql("fn_blobs", "SELECT p_partkey, hex(encode(p_brand, 'UTF-8')) AS h, base
 same_sql("fn_time_bucket", "SELECT window(ts, '1 hour').start AS start, event_type, count(*) AS n FROM {events} GROUP BY 1, 2", ["events"], "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 same_sql("fn_error_guard", "SELECT CASE WHEN count(*) = 0 THEN 0 ELSE raise_error('negative quantity') END AS bad FROM {lineitem} WHERE l_quantity < 0", ["lineitem"], "SELECT CASE WHEN count(*) = 0 THEN 0 ELSE error('negative quantity') END AS bad FROM lineitem WHERE l_quantity < 0")
 same_sql("fn_typeof", "SELECT typeof(o_orderkey) AS a, count(*) AS n FROM {orders} GROUP BY 1", ["orders"], "SELECT lower(typeof(o_orderkey)) AS a, count(*) AS n FROM orders GROUP BY 1")
-same_sql("macro_scalar", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 2 AS DECIMAL(20,2)) AS twice FROM {orders}", ["orders"])
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 2 AS DECIMAL(20,2)) AS twice FROM orders")
+def macro_scalar(spark: SparkSession, sf: str) -> DataFrame:
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tessera_twice(x DECIMAL(18,2)) RETURNS DECIMAL(20,2) RETURN x * 2")
+    return spark.sql("SELECT o_orderkey, tessera_twice(CAST(o_totalprice AS DECIMAL(18,2))) AS twice FROM {orders}", orders=t(spark, sf, "orders"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 7 = 3 AND o_orderstatus = 'F'")
+def macro_table(spark: SparkSession, sf: str) -> DataFrame:
+    t(spark, sf, "orders").createOrReplaceTempView("tessera_orders")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tessera_orders_of(s STRING, k BIGINT) RETURNS TABLE(o_orderkey BIGINT, o_custkey BIGINT) RETURN SELECT o_orderkey, o_custkey FROM tessera_orders WHERE o_orderstatus = s AND o_custkey % 7 = k")
+    return spark.sql("SELECT * FROM tessera_orders_of('F', 3)")

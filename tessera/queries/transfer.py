@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.contract import TableContract, padded
 from tessera.functions.calendar import derive
 from tessera.functions.decoders import date_from_text, decimal_from_text, double_from_text, empty_cells, int_from_text, timestamp_from_text
-from tessera.functions.order import canonical_order
+from tessera.functions.order import canonical_places, content_digest
 from tessera.functions.widening import project
 from tessera.operators import checks
-from tessera.queries import query, t
+from tessera.queries import fresh, query, t
 from tessera.sources.objects import excludes, includes, last_n_days
 
 
@@ -115,7 +115,7 @@ def union_versions(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment ASC NULLS FIRST, c_acctbal ASC NULLS FIRST, c_custkey ASC NULLS FIRST) AS place FROM (SELECT c_mktsegment, c_acctbal, c_custkey FROM customer WHERE c_acctbal <> 0)")
 def canonical_place(spark: SparkSession, sf: str) -> DataFrame:
     rows = t(spark, sf, "customer").where("c_acctbal <> 0").select("c_mktsegment", "c_acctbal", "c_custkey")
-    return rows.select("c_custkey", F.row_number().over(Window.orderBy(*canonical_order(rows))).alias("place"))
+    return canonical_places(rows, fresh(spark, "places")).select("c_custkey", "place")
 
 
 @query("SELECT s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DECIMAL(38,6)) AS value, false AS bad FROM supplier")

@@ -13,14 +13,19 @@ from tessera.dataset import Dataset
 def publish_stream(stream: DataFrame, dataset: Dataset, table: str, contract: TableContract, key: list[str], checkpoint: str) -> StreamingQuery:
     """Each micro-batch's rows with new keys are appended to the table and published as the next revision.
 
-    A batch that is delivered again after a failure has no new keys, so it publishes nothing.
+    Rows of partitions that the batch doesn't touch are neither read nor written: of a partitioned table only the
+    touched partitions are read for their keys, so keys are told apart within a partition, and written anew. A batch
+    that is delivered again after a failure has no new keys, so it publishes nothing.
     """
 
     def publish(batch: DataFrame, _: int) -> None:
-        fresh = batch.select(*[n for n, _ in contract.columns]).dropDuplicates(key)
+        fresh = batch.select(*[n for n, _ in contract.columns]).dropDuplicates([*key, *contract.partition_columns])
         if table in dataset.contracts():
-            old = dataset.read(table)
-            fresh = old.unionByName(fresh.join(old.select(*key), key, "left_anti").select(*old.columns))
+            touched = None
+            if contract.partition_keys:  # one row per partition of the batch
+                touched = [dict(zip(contract.partition_keys, r, strict=True)) for r in fresh.select(*contract.partition_columns).distinct().collect()]
+            old = dataset.read(table, partitions=touched)
+            fresh = old.unionByName(fresh.join(old.select(*key, *contract.partition_columns), [*key, *contract.partition_columns], "left_anti").select(*old.columns))
         dataset.push({table: (fresh, contract)}, reason="stream", infer_omissions=False)
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

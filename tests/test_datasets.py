@@ -180,3 +180,79 @@ def test_stream_publishes_once(spark, tmp_path):
 def test_windowed_totals(spark):
     events = spark.createDataFrame([("2026-01-01 00:10:00", "a", 1.5), ("2026-01-01 00:50:00", "a", 2.0), ("2026-01-01 01:00:00", "a", 3.0)], "t string, k string, v double").withColumn("t", F.to_timestamp("t"))
     assert sorted((r.n, float(r.total)) for r in windowed_totals(events, "t", "v", "k").collect()) == [(1, 3.0), (2, 3.5)]
+
+
+def test_a_run_that_died_before_its_commit_is_never_seen(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path), "d")
+    d.push({"t": (spark.range(2), PLAIN)})
+    state = d.state()
+    state.write.parquet(f"{d.path}/states/revision=2/attempt=dead")  # a state without its commit
+    assert d.latest() == 1 and d.history().count() == 1 and d.status().first().unpublished == 1
+    assert d.push({"t": (spark.range(3), PLAIN)}).revision == 2 and d.read("t").count() == 3
+
+
+def test_publishers_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    d = Dataset(spark, str(tmp_path), "d")
+    d.push({"t": (spark.range(2), PLAIN)})
+    with ThreadPoolExecutor(3) as pool:  # of different tables: each builds upon the others
+        made = list(pool.map(lambda n: Dataset(spark, str(tmp_path), "d").push({f"u{n}": (spark.range(n + 1), PLAIN)}, infer_omissions=False).revision, range(3)))
+    assert sorted(made) == [2, 3, 4] and {r.table for r in d.ls().collect()} == {"t", "u0", "u1", "u2"}
+
+
+def test_pairs_changed_since_the_base_are_a_conflict(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path), "d")
+    for n in (2, 3, 2):  # the content is back again at revision 3
+        d.push({"t": (spark.range(n), PLAIN)})
+    with pytest.raises(TesseraError) as e:
+        d.push({"t": (spark.range(5), PLAIN)}, base=1)
+    assert e.value.code == "STATE_CONFLICT" and d.latest() == 3
+    assert d.push({"u": (spark.range(5), PLAIN)}, base=1, infer_omissions=False).revision == 4
+
+
+def test_builds_read_nothing_but_their_inputs(spark, tmp_path):
+    a, b = Dataset(spark, str(tmp_path), "a"), Dataset(spark, str(tmp_path), "b")
+    a.push({"t": (spark.range(4), PLAIN)})
+    spark.range(3).createOrReplaceTempView("stray")
+    for sql in ("SELECT id FROM stray", f"SELECT id FROM parquet.`{a.path}/data`", "SELECT id FROM input_x WHERE id IN (SELECT id FROM stray)", "SELECT try_reflect('java.lang.System', 'exit', 1) AS id FROM input_x", "SELECT CAST(rand() * 9 AS BIGINT) AS id FROM input_x", "SELECT identifier('ra' || 'nd')() AS id FROM input_x", "SELECT id FROM input_x; SELECT 1", "DROP TABLE stray"):
+        with pytest.raises(TesseraError):
+            b.build({"x": (a, "t", "latest")}, {"n": (sql, PLAIN)})
+    b.build({"x": (a, "t", "latest")}, {"n": ("WITH c AS (SELECT id FROM input_x) SELECT id FROM c WHERE 'reflect(' <> ''", PLAIN)})
+    assert b.read("n").count() == 4 and "input_x" not in {r.tableName for r in spark.sql("SHOW VIEWS").selectExpr("viewName AS tableName").collect()}
+
+
+def test_selections_are_checked(spark, tmp_path):
+    from tessera.plans.selection import choose
+
+    base = spark.createDataFrame([("t", "a", 1), ("t", "b", 1)], "table string, partition string, version long")
+    made = spark.createDataFrame([("t", "a", 2)], "table string, partition string, version long")
+    got = {(r.partition, r.version) for r in choose(base, made, "explicit", include=[("t", "a")], empty=[("t", "b")], number=2).collect()}
+    assert got == {("a", 2), ("b", 2)}
+    for bad in ({"include": [("t", "b")]}, {"include": [("t", "a")], "drop": [("t", "a")]}, {"empty": [("t", "a")], "number": 2}, {"empty": [("t", "b")]}, {"policy": "other"}):
+        with pytest.raises(TesseraError):
+            choose(base, made, **bad)
+
+
+def test_prune_deletes_files_and_spares_pins(spark, tmp_path):
+    d = Dataset(spark, str(tmp_path), "d")
+    for n in (1, 2, 3):
+        d.push({"t": (spark.range(n), PLAIN)})
+    d.pin(2, "keep")
+    before = {r.version: r.bytes for r in d.gc().collect()}
+    assert d.prune() == 1 and d.prune() == 0 and before[1] > 0
+    found = {r.version: (r["class"], r.bytes > 0) for r in d.gc().collect()}
+    assert found == {1: ("AlreadyPruned", False), 2: ("Protected", True), 3: ("Protected", True)}
+    assert d.read("t", 2).count() == 2
+
+
+def test_appends_write_only_what_is_new(spark, tmp_path):
+    d, out = Dataset(spark, str(tmp_path), "d"), Destination(spark, str(tmp_path / "out"))
+    d.push({"t": (spark.range(2), PLAIN)})
+    first = out.pull(d, {"t": {"table": "t", "contract": PLAIN}})["t"]
+    second = out.pull(d, {"t": {"table": "t", "contract": PLAIN}}, write="append")["t"]
+    assert second[:1] == first and len(second) == 2 and out.read("t", PLAIN).count() == 4
+    other = Dataset(spark, str(tmp_path), "other")
+    other.push({"t": (spark.range(2), PLAIN)})
+    with pytest.raises(TesseraError):
+        out.pull(other, {"t": {"table": "t", "contract": PLAIN}})

@@ -150,3 +150,31 @@ checks:
 
 def test_every_code_has_a_status():
     assert len(EXIT_STATUS) == 17 and set(EXIT_STATUS.values()) == {2, 3, 4, 5, 6}
+
+
+def test_doubles_of_any_size(spark):
+    cases = {"1e300": 1e300, "1e25": 1e25, "1e-20": 1e-20, "4.9E-324": 5e-324, "-0": 0.0, "0.1": 0.1, "00120.50": 120.5, "0.30000000000000001": None, "1e400": None, "x": None, "NaN": None, "123456789012345678": None}
+    cases["123456789012345680"] = 123456789012345680.0
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    value, bad = D.double_from_text(F.col("t"))
+    assert {r.t: r.v for r in df.select("t", value.alias("v"), bad.alias("b")).collect()} == cases
+    assert {r.t for r in df.where(bad).collect()} == {k for k, v in cases.items() if v is None}
+
+
+def test_row_predicates(spark):
+    df = spark.createDataFrame([(1, "x y", "2020-02-03")], "id long, s string, d string")
+    for good in ("extract(YEAR FROM CAST(d AS DATE)) = 2020", "trim(BOTH 'x' FROM s) = ' y'", "s LIKE '%;%' OR id = 1", "id IN (1, 2)", "s <> 'select over from'"):
+        assert checks.row_predicate(df, good).count() == 1
+    for bad in ("java_method('java.lang.System', 'nanoTime') > ''", "`reflect`('java.lang.System', 'nanoTime') > ''", "id = (SELECT 1)", "EXISTS (SELECT 1)", "id IN (SELECT 1)", "row_number() OVER (ORDER BY id) = 1", "count(*) > 0", "id = 1; DROP TABLE x", "id = ?", "rand() < 2"):
+        with pytest.raises(TesseraError):
+            checks.row_predicate(df, bad).count()
+
+
+def test_core_scalars():
+    from tessera.plans.declaration import parse
+
+    got = parse("{a: yes, b: 010, c: 1:30, d: 0x1f, e: 0o17, f: true, g: ~, h: 1_000, i: 1e3, j: 2001-01-01, k: '1', l: -7}")
+    assert got == {"a": "yes", "b": 10, "c": "1:30", "d": 31, "e": 15, "f": True, "g": None, "h": "1_000", "i": 1000.0, "j": "2001-01-01", "k": "1", "l": -7}
+    for bad in ("{a: .inf}", "{a: .nan}"):
+        with pytest.raises(TesseraError):
+            parse(bad)
