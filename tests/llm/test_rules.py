@@ -160,5 +160,51 @@ def test_all_notices_of_a_block_and_wrapped_ones(docs):
     cases = [(f"{notice['cc-by-sa']} {notice['gpl-3']}", "cc-by-sa,gpl-3"), (f"{notice['gpl-3']} {notice['lgpl-3']}", "gpl-3,lgpl-3"), (f"{notice['cc-by-nc']} x {notice['cc-by-sa']}", "cc-by-nc,cc-by-sa")]
     cases += [(notice[k], k) for k in notice] + [(wrap(notice[k], width), k) for k in notice for width in (72, 40, 14)]
     cases += [("Redistribution and use\nin source and\n\nsome quite different prose", "")]
-    got = {x.doc_id: x.labels for x in license_scan.scanned(docs([(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    rows = [(i, t) for i, (t, _) in enumerate(cases)]
+    found = [(x.doc_id, x.labels) for x in license_scan.scanned(docs(rows + rows[:9])).collect()]
+    got = dict(found)
+    assert len(found) == len(rows) + 9 and len(set(found)) == len(rows)  # repeated rows are scanned alike
     assert [(t, set(filter(None, got[i].split(",")))) for i, (t, _) in enumerate(cases)] == [(t, set(filter(None, x.split(",")))) for t, x in cases]
+
+
+def brute_labels(text):
+    """Labels of the method by comparing every block with every template."""
+    words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER)) if w]
+    sets = [(label, set(words(t))) for label, t in license_scan.TEMPLATES]
+    least = [math.ceil(round(0.8 * len(s), 9)) for _, s in sets]
+    known = set().union(*[s for _, s in sets])
+    between = math.ceil(round(max(len(words(t)) for _, t in license_scan.TEMPLATES) / 0.8, 9))
+    lines = [(len(w), set(w) & known) for w in map(words, text.split("\n")) if w]
+    blocks = [set(words(x)) & known for x in re.split(r"\n|[.;!?]\s", text)]
+    for i in range(len(lines)):
+        run, inner = set(), 0
+        for j in range(i, len(lines)):
+            run = run | lines[j][1]
+            if lines[i][1] and lines[j][1]:
+                blocks.append(run)
+            inner += lines[j][0] if j > i else 0
+            if inner > between:
+                break
+    found = set()
+    for b in map(frozenset, set(map(frozenset, blocks))):
+        met = {t: len(b & s) / len(s) for t, (_, s) in enumerate(sets) if len(b & s) >= least[t]}
+        for t, c in met.items():
+            own = sets[t][1]
+            rivals = [(v, d) for v, d in met.items() if v != t]
+            if not any((len(own & sets[v][1]) >= least[t] and d > c) or (own < sets[v][1] and d >= c) for v, d in rivals):
+                found.add(sets[t][0])
+    return found
+
+
+def test_labels_are_brute_force(docs):
+    r = random.Random(7)
+    texts = []
+    for _ in range(60):
+        _, notice = r.choice(license_scan.TEMPLATES)
+        w = [x for x in notice.split() if r.random() > r.choice([0.0, 0.1, 0.2, 0.3])]
+        w = [y for x in w for y in ([x, r.choice(["new", "license", "word"])] if r.random() < 0.1 else [x])]
+        other = r.choice(license_scan.TEMPLATES)[1] if r.random() < 0.4 else "some prose"
+        texts.append("\n".join(textwrap.wrap(" ".join(["Before."] + w + [other]), r.choice([20, 50, 80, 2000]))))
+    got = {x.doc_id: set(filter(None, x.labels.split(","))) for x in license_scan.scanned(docs(list(enumerate(texts)))).collect()}
+    base = lambda t: {label for p, label in license_scan.PHRASES.items() if re.search(rf"(^|[^a-z0-9]){'[^a-z0-9]+'.join(p.split())}($|[^a-z0-9])", t.lower())}
+    assert got == {i: brute_labels(t) | base(t) for i, t in enumerate(texts)}
