@@ -34,13 +34,33 @@ def packed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
 
 
+#: Folders that `staged` has written, in order.
+_made: list[str] = []
+
+
 def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
-    This cuts the lineage: what follows survives a lost executor without computing `df` again.
+    This cuts the lineage: what follows survives a lost executor without computing `df` again. The folder stays, as
+    results are read from it later, until `forget`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
+    _made.append(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def mark() -> int:
+    """The place of what is staged from now on, for `forget`."""
+    return len(_made)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what was staged since a mark, but for the last `keep` folders. No result that is still to be computed
+    may read from it."""
+    for path in _made[since : len(_made) - keep]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    del _made[since : len(_made) - keep]

@@ -400,3 +400,12 @@ def test_pipeline_edges(spark):
             assert after.columns == wide.columns
             rows = spark.createDataFrame(after.collect(), after.schema)
     assert 0 < after.count() <= 128
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    from tessera.llm import common
+
+    start = common.mark()
+    rows = corpus_pipeline.run(spark, DATA)
+    assert rows.count() > 0 and common.mark() == start + 1
+    assert rows.select("doc_id").distinct().count() == rows.count()

@@ -84,6 +84,21 @@ def test_token_files(spark, docs, tmp_path):
     assert ids[1] == [2] and ids[6][-2] == 50256
 
 
+def test_token_files_of_other_and_repeated_keys(spark):
+    from decimal import Decimal
+
+    library = Tokenizer.from_file(BYTE)
+    texts = [f"text {i % 7} of a key" for i in range(3000)]
+    keys = [Decimal(5) if i % 3 else Decimal(i) / 4 for i in range(3000)]  # one key holds two thirds of all rows
+    got = token_output(spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id decimal(10,2), text string").repartition(3), BYTE, 2).collect()
+    rows = sorted(map(tuple, got), key=lambda r: r[1])
+    assert [r[0] for r in rows] == sorted(k.quantize(Decimal("0.01")) for k in keys)
+    assert [r[1] for r in rows] == [0, *np.cumsum([r[2] for r in rows])[:-1].tolist()]
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    own = {t: crc(t) for t in set(texts)}
+    assert sorted(r[3] for r in rows) == sorted(own[t] for t in texts)
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 5000, 300_000])
 def test_rans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 5000).astype(np.uint16)
