@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, language_id, piece_codec, quality_classifier
-from tessera.llm.common import packed, staged, table
+from tessera.llm.common import forget, mark, packed, staged, table
 
 #: Least calibrated probability of the predicted language.
 SURE = 0.3
@@ -74,10 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents` through all stages; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """`documents` through all stages; each stage's result is written and read again, and what the stage wrote on its
+    way, and its input, are deleted then."""
+    docs, start = table(spark, sf_dir, "documents"), mark()
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = staged(docs, f"stage-{n + 1}")
+            forget(spark, start, keep=1)
     return docs
