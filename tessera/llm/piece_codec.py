@@ -9,7 +9,8 @@ No piece of the vocabulary goes on after a space mark that follows another chara
 such a place: the text is cut there, and the table of each distinct stretch is filled once per worker memory.
 
 Defined results: a null text counts as empty; an empty text has only the end id; rows are independent of each other,
-so repeated rows repeat their result; an empty table gives an empty result; other columns are not read.
+so repeated rows repeat their result; texts are coded whole, however long; where two ways to split a text tie, it is
+split as the library does; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ A word's bytes form a doubly linked list. A heap holds every adjacent pair that
 number of merges: no token identifier is ever looked up or emitted.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a row's count does not depend on other rows, so
-ties and repeated rows each get their own row; an empty table gives an empty result; columns other than the key and
-the text are not read.
+ties and repeated rows each get their own row; texts are counted whole, however long (merging takes one word at a time);
+an empty table gives an empty result; columns other than the key and the text are not
+read.
 """
 
 from __future__ import annotations
