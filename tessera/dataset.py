@@ -222,16 +222,18 @@ class Dataset:
         folder = f"{place}/table={table}"
         keys = contract.partition_columns
         parts = df.withColumns({f"k{i}": F.col(c) for i, c in enumerate(keys)}) if keys else df
-        if keys:  # one task per partition value would be a hot spot: rows are dealt by value and a bounded salt
-            parts = parts.repartition(*[F.col(c) for c in keys], F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(16)))
+        if keys:  # rows of a partition come together; Spark splits large ones and joins small ones by their measured sizes
+            parts = parts.hint("rebalance", *[f"k{i}" for i in range(len(keys))])
         writer = parts.write.mode("errorifexists")
         (writer.partitionBy(*[f"k{i}" for i in range(len(keys))]) if keys else writer).parquet(folder)
         back = self.spark.read.schema(contract.schema).option("recursiveFileLookup", "true").parquet(folder)
-        checks.require(back, {**checks.not_null(not_null), **checks.partition_names(keys)} or {"none": F.lit(False)})
         shown = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.col(f"_{k}_")) for k in contract.partition_keys]) if keys else F.lit("")
         sub = F.concat(*[F.concat(F.lit(f"/k{i}="), F.col(c)) for i, c in enumerate(keys)]) if keys else F.lit("")
-        found = content_digest(back.withColumns({"_p": shown, "_sub": sub}), ["_p", "_sub"], df.columns)
-        rows = [(table, r["_p"], run, r["n_rows"], r["digest"], folder + r["_sub"]) for r in found.collect()]  # one row per partition
+        rules = {**checks.not_null(not_null), **checks.partition_names(keys)}
+        found = content_digest(back.withColumns({"_p": shown, "_sub": sub}), ["_p", "_sub"], df.columns, {n: F.count_if(c) for n, c in rules.items()}).collect()  # one row per partition
+        if broken := {n: v for n in rules if (v := sum(r[n] for r in found))}:
+            raise TesseraError("INVALID_ARGUMENT", f"rows that break a rule: {broken}")
+        rows = [(table, r["_p"], run, r["n_rows"], r["digest"], folder + (r["_sub"] or "")) for r in found]
         return rows if rows or keys else [(table, "", run, 0, "empty", folder)]  # an empty table is an empty version, not an omission
 
     def _publish(self, number: int, state: DataFrame, contracts: dict[str, TableContract], run: str, reason: str, inputs: dict) -> None:

@@ -37,13 +37,13 @@ def row_hashes(df: DataFrame, columns: list[str]) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(17), *parts)
 
 
-def content_digest(df: DataFrame, by: list[str], columns: list[str] | None = None) -> DataFrame:
-    """`by`, n_rows and digest of each group's rows as a bag: one aggregation, no sort."""
+def content_digest(df: DataFrame, by: list[str], columns: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """`by`, n_rows and digest of each group's rows as a bag, and `more` aggregates: one aggregation, no sort."""
     first, second = row_hashes(df, columns or df.columns)
     wide = lambda c: F.sum(c.cast("decimal(20,0)"))
-    hashed = df.select(*by, first.alias("_a"), second.alias("_b"))
-    sums = hashed.groupBy(*by).agg(F.count("*").alias("n_rows"), wide(F.col("_a")).alias("_s"), wide(F.col("_b")).alias("_t"), F.bit_xor("_a").alias("_x"))
-    return sums.select(*by, "n_rows", F.sha2(F.concat_ws(":", "n_rows", "_s", "_t", "_x"), 256).alias("digest"))
+    own = [c.alias(n) for n, c in (more or {}).items()]
+    sums = df.withColumns({"_a": first, "_b": second}).groupBy(*by).agg(F.count("*").alias("n_rows"), wide(F.col("_a")).alias("_s"), wide(F.col("_b")).alias("_t"), F.bit_xor("_a").alias("_x"), *own)
+    return sums.select(*by, "n_rows", F.sha2(F.concat_ws(":", "n_rows", "_s", "_t", "_x"), 256).alias("digest"), *[F.col(f"`{n}`") for n in more or {}])
 
 
 def canonical_places(df: DataFrame, folder: str, name: str = "place") -> DataFrame:
