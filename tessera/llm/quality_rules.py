@@ -136,8 +136,8 @@ def thresholds(measured: DataFrame, labels: DataFrame, key: str, stratum: str, g
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", good: str = "quality") -> DataFrame:
     """Base measures, base_failed and kept for every row; one text pass, one join of labelled keys, no Python."""
     measured = staged(measures(docs, key, text, stratum), "quality-measures")
-    cuts = staged(thresholds(measured, labels, key, stratum, good).select("stratum", F.col("step").alias("_cut")), "quality-cutoffs")
+    cuts = staged(thresholds(measured, labels, key, stratum, good).select(F.col("stratum").alias("_of"), F.col("step").alias("_cut")), "quality-cutoffs")
     table = F.broadcast(cuts) if cuts.limit(MOST_STRATA + 1).count() <= MOST_STRATA else cuts
     over = F.coalesce(step_of() <= F.col("_cut"), F.lit(False))
-    rows = measured.withColumn("_stratum", F.coalesce(stratum, F.lit(""))).join(table, F.col("_stratum") == F.col("stratum"), "left")
+    rows = measured.withColumn("_stratum", F.coalesce(stratum, F.lit(""))).join(table, F.col("_stratum") == F.col("_of"), "left")
     return rows.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"), (~failed() & ~over).alias("kept"))
